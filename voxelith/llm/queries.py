@@ -16,12 +16,26 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxelith.llm.langid import fit, held_out, identify
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = fit(docs.where(~held_out(F.col("doc_id"))))
+    return identify(docs, model)
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from voxelith.llm.bpe import encode_decode
 
     return encode_decode(_read(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.tiktoken"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxelith.llm.substring import near_passages
+
+    return near_passages(_read(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from voxelith.llm.packing import pack
 
@@ -36,17 +50,48 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxelith.llm.minhash import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from voxelith.llm.sharding import shard_rows
 
     return shard_rows(_read(spark, sf_dir, "documents"))
 
 
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxelith.llm.topk import top_k
+
+    rows = _read(spark, sf_dir, "embeddings")
+    return top_k(rows, rows.where(F.col("vec_id") % 20 == 0))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxelith.llm.linededup import dedup_lines
+
+    return dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "n_lines", "n_removed_lines")
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxelith.llm.htmltext import extract
+
+    return extract(_read(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_quality_rules": op5_quality_rules,
+    "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_sharding": op7_sharding,
+    "op8_exact_top_k": op8_exact_top_k,
+    "op9_line_dedup": op9_line_dedup,
+    "op10_html_text": op10_html_text,
 }
 
 #: DuckDB SQL by query; the others are tested against brute force.
