@@ -10,7 +10,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -27,7 +27,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from voxelith.llm.bpe import encode_decode
 
-    return encode_decode(_read(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.tiktoken"))
+    return encode_decode(_read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from voxelith.llm.packing import pack
 
-    return pack(_read(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return pack(_read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
