@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,16 +24,19 @@ from voxelith.llm.textbatch import WordTable, chunks, gather, pretokens
 
 #: Pieces of one recursive query; more are done in turn.
 PER_QUERY = 20_000
+#: Distinct pieces that a worker remembers; beyond that it starts anew.
+REMEMBERED = 800_000
 
 _ENCODE = """
-with recursive step(w, p, t, live) as (
-  select w, p, t, true from start
+with recursive step(w, p, t, q, u, live) as (
+  select w, p, t, q, u, true from start
   union all
-  (with cur as (select w, p, t, lead(t) over (partition by w order by p) as t2, row_number() over (partition by w order by p) as i from step where live),
-        pairs as (select cur.*, merges.m from cur left join merges on merges.l = cur.t and merges.r = cur.t2),
-        least_of as (select w, min(m::bigint * 4294967296 + i) as b from pairs group by w)
-   select pairs.w, pairs.p, case when pairs.i = b % 4294967296 then (b // 4294967296)::int else pairs.t end, b is not null
-   from pairs join least_of using (w) where b is null or pairs.i <> b % 4294967296 + 1)
+  (with cur as (select s.w, s.p, s.t, s.q, s.u, m.m from step s left join merges m on m.l = s.t and m.r = s.u where s.live),
+        best as (select w, min(m::bigint * 4294967296 + p) as b, arg_min(q, m::bigint * 4294967296 + p) as bq from cur group by w),
+        hop as (select best.w, b % 4294967296 as bp, bq, (b // 4294967296)::int as bm, d.q as nq, d.u as nu from best join cur d on d.w = best.w and d.p = bq)
+   select c.w, c.p, case when c.p = h.bp then h.bm else c.t end, case when c.p = h.bp then h.nq else c.q end,
+          case when c.p = h.bp then h.nu when c.q = h.bp then h.bm else c.u end, h.w is not null
+   from cur c left join hop h on h.w = c.w where h.w is null or c.p <> h.bq)
 )
 select w, list(t order by p) as ids from step where not live group by w order by w
 """
@@ -77,7 +81,10 @@ def encode_pieces(pieces: list[bytes], path: str) -> list[list[int]]:
         n = np.array([len(p) for p in part])
         w = np.repeat(np.arange(len(part), dtype=np.int32), n)
         p = (np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
-        con.register("start", pa.table({"w": w, "p": p, "t": byte_ids[np.frombuffer(b"".join(part), np.uint8)]}))
+        t = byte_ids[np.frombuffer(b"".join(part), np.uint8)]
+        last = p + 1 == np.repeat(n, n)  # a position's row also holds the next position and its token
+        nxt = lambda x: pa.array(np.append(x[1:], 0).astype(np.int32), mask=last)
+        con.register("start", pa.table({"w": w, "p": p, "t": t, "q": nxt(p), "u": nxt(t)}))
         out += [ids for _, ids in con.execute(_ENCODE).fetchall()]
         con.unregister("start")
         at = end
@@ -96,12 +103,15 @@ def decode_pieces(ids: list[list[int]], path: str) -> list[bytes]:
     return out
 
 
-def _coded(path: str):
-    def fill(pieces: list[bytes]) -> list[tuple[np.ndarray, bytes]]:
+@lru_cache(2)
+def _table(path: str) -> WordTable:
+    """One a worker, kept from task to task."""
+
+    def fill(pieces: list[bytes]) -> list[tuple[bytes, bytes]]:
         ids = encode_pieces(pieces, path)
-        return [(np.asarray(i, np.uint32), d) for i, d in zip(ids, decode_pieces(ids, path), strict=True)]
+        return [(array("I", i).tobytes(), d) for i, d in zip(ids, decode_pieces(ids, path), strict=True)]
 
-    return fill
+    return WordTable(fill, REMEMBERED)
 
 
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -110,15 +120,15 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     schema = f"{id_col} {kept.schema[0].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordTable(_coded(path))
+        table = _table(path)
         for batch in batches:
             counts, enc, dec, all_ids = [], [], [], []
             for _, data, offsets in chunks(batch.column(1)):
                 starts, ends, rows = pretokens(data, offsets)
                 codes, values = table.lookup(data, starts, ends) if len(starts) else (np.zeros(0, np.int64), [])
                 at = np.zeros(len(values) + 1, np.int64)
-                np.cumsum([len(v[0]) for v in values], out=at[1:])
-                ids, id_at = gather(np.concatenate([v[0] for v in values]) if values else np.zeros(0, np.uint32), at, codes)
+                np.cumsum([len(v[0]) // 4 for v in values], out=at[1:])
+                ids, id_at = gather(np.frombuffer(b"".join(v[0] for v in values), np.uint32), at, codes)
                 np.cumsum([len(v[1]) for v in values], out=at[1:])
                 text, text_at = gather(np.frombuffer(b"".join(v[1] for v in values), np.uint8), at, codes)
                 ids, text = ids.astype("<u4"), text.astype(np.uint8)

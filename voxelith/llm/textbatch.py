@@ -185,10 +185,10 @@ def gather(flat: np.ndarray, at: np.ndarray, codes: np.ndarray) -> tuple[np.ndar
 
 
 class WordTable:
-    """Distinct byte strings of the text so far with what ``fill`` says of each; starts anew beyond ``most`` of them."""
+    """Distinct byte strings of the text so far with what ``fill`` says of each; starts anew beyond ``most`` of them, or 16 bytes times as many."""
 
     def __init__(self, fill, most: int = 150_000):
-        self.fill, self.most, self.known = fill, most, {}
+        self.fill, self.most, self.known, self.size = fill, most, {}, 0
 
     def lookup(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list]:
         """Each span's index, and the list of values that the indices point into.  Spans count as one if 64-bit hashes agree."""
@@ -199,8 +199,10 @@ class WordTable:
         where[codes[::-1]] = np.arange(len(codes))[::-1]
         raw = data.tobytes()
         keys = [raw[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
-        if len(self.known) > self.most:
+        if len(self.known) > self.most or self.size > 16 * self.most:
             self.known.clear()
+            self.size = 0
         if new := [k for k in dict.fromkeys(keys) if k not in self.known]:
+            self.size += sum(map(len, new))
             self.known.update(zip(new, self.fill(new), strict=True))
         return codes, [self.known[k] for k in keys]
