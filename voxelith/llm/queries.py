@@ -122,5 +122,49 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
             or 2 * length(regexp_replace(t, '[^\p{Lu}]+', '', 'g')) > length(regexp_replace(t, '[^\p{L}]+', '', 'g'))
             or 10 * len(regexp_extract_all(t, '\p{L}[^\x20\x09-\x0D]*')) < 7 * n_words) as kept
 from b
+""",
+    "op6_minhash_near_dedup": r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words from documents),
+shingles as (
+  select distinct doc_id, words[i:i + 4] as s from w, unnest(range(1, greatest(len(words) - 3, 2))) as u(i) where len(words) > 0),
+sizes as (select doc_id, count(*) as n from shingles group by 1),
+common as (select a.doc_id as a, b.doc_id as b, count(*) as n from shingles a join shingles b using (s) where a.doc_id < b.doc_id group by 1, 2),
+links as (select a, b from common c join sizes p on p.doc_id = a join sizes q on q.doc_id = b where 100 * c.n >= 85 * (p.n + q.n - c.n)),
+edges as (select a, b from links union select b, a from links),
+reach(a, b) as (select doc_id, doc_id from documents union select r.a, e.b from reach r join edges e on e.a = r.b)
+select d.doc_id, coalesce(max(n), 0)::bigint as n_shingles, min(b) as component_id, d.doc_id = min(b) as kept
+from documents d join reach on reach.a = d.doc_id left join sizes on sizes.doc_id = d.doc_id group by d.doc_id
+""",
+    "op8_exact_top_k": """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select q.vec_id as query_id, c.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::bigint as score
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0)
+select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score
+from s qualify rank <= 20
+""",
+    "op9_line_dedup": r"""
+with l as (
+  select doc_id, i as line, string_split(coalesce(text, ''), chr(10))[i] as t
+  from documents, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) as u(i)),
+s as (select doc_id, line, list_distinct(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) as w from l),
+big as (select row_number() over (order by doc_id, line) as k, doc_id, line, w, len(w) as n from s where len(w) >= 5),
+words as (select k, n, unnest(w) as x from big),
+freq as (select x, count(*) as f from words group by 1),
+placed as (select k, n, x, row_number() over (partition by k order by f, x) as p from words join freq using (x)),
+prefix as (select * from placed where p <= n - ceil(0.8 * n) + 1),
+candidates as (
+  select distinct a.k as a, b.k as b from prefix a join prefix b using (x)
+  where b.k < a.k and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+gone as (
+  select distinct a from candidates join big p on p.k = a join big q on q.k = b
+  where 100 * len(list_intersect(p.w, q.w)) >= 80 * (p.n + q.n - len(list_intersect(p.w, q.w)))),
+marked as (select l.doc_id, l.line, t, gone.a is not null as removed from l left join big using (doc_id, line) left join gone on gone.a = big.k)
+select d.doc_id, case when d.text is not null then coalesce(m.text, '') end as text, case when d.text is null then 0 else m.n_lines end as n_lines, m.n_removed_lines
+from documents d join (
+  select doc_id, string_agg(t, chr(10) order by line) filter (not removed) as text, count(*) as n_lines, count(*) filter (removed) as n_removed_lines from marked group by 1) m using (doc_id)
 """,
 }
