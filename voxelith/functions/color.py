@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values of the sRGB and CIE standards.
@@ -33,3 +33,15 @@ def to_lab(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
 
 def lab_of_srgb8(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
     return to_lab(*(to_linear(c / 255.0) for c in (r, g, b)))
+
+
+def with_lab(df: DataFrame, rgb: tuple[str, str, str], names: tuple[str, str, str]) -> DataFrame:
+    """df with Lab columns of 8-bit columns.  Each step is a projection of its own, so nothing is worked out twice and the
+    generated code stays small."""
+    df = df.withColumns({f"_l{i}": to_linear(F.col(c) / 255.0) for i, c in enumerate(rgb)})
+    mixed = (sum((F.col(f"_l{i}") * k for i, k in enumerate(row)), F.lit(0.0)) / w for row, w in zip(_TO_XYZ, _WHITE, strict=True))
+    df = df.withColumns(dict(zip(("_x0", "_x1", "_x2"), mixed, strict=True)))
+    df = df.withColumns({f"_f{i}": F.when(F.col(f"_x{i}") > 216 / 24389, F.cbrt(f"_x{i}")).otherwise((24389 / 27 * F.col(f"_x{i}") + 16) / 116) for i in range(3)})
+    x, y, z = (F.col(f"_f{i}") for i in range(3))
+    lab = dict(zip(names, (116 * y - 16, 500 * (x - y), 200 * (y - z)), strict=True))
+    return df.withColumns(lab).drop(*(f"_{k}{i}" for k in "lxf" for i in range(3)))

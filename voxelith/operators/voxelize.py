@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelith.functions.aggregates import lower_median, weighted_median
-from voxelith.functions.color import lab_of_srgb8
+from voxelith.functions.color import with_lab
 from voxelith.functions.geometry import Matrix, check_rigid, finite, rigid, rotate
 from voxelith.functions.grid import FACES, cell, in_grid, offsets
 
@@ -75,9 +75,8 @@ def match_palette(cells: DataFrame, palette: DataFrame, rgb: tuple[str, str, str
 
     Distinct colours are scored once.  The palette is a dimension of a few hundred rows at most and is broadcast."""
     colours = cells.select(*rgb).distinct()
-    lab = lambda df, cols, to: df.withColumns(dict(zip(to, lab_of_srgb8(*map(F.col, cols)), strict=True)))
-    left = lab(colours, rgb, ("lab_l", "lab_a", "lab_b"))
-    right = lab(palette, ("pr", "pg", "pb"), ("pal_l", "pal_a", "pal_b"))
+    left = with_lab(colours, rgb, ("lab_l", "lab_a", "lab_b"))
+    right = with_lab(palette, ("pr", "pg", "pb"), ("pal_l", "pal_a", "pal_b"))
     d = sum(((F.col(f"lab_{c}") - F.col(f"pal_{c}")) * (F.col(f"lab_{c}") - F.col(f"pal_{c}")) for c in "lab"), F.lit(0.0))
     scored = left.crossJoin(F.broadcast(right)).withColumn("_s", F.round(F.sqrt(d) + F.col("penalty"), digits))
     best = scored.groupBy(*rgb).agg(F.min_by(F.struct("palette_id", "block_state"), F.struct("_s", "pos")).alias("m"))
