@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from voxelith.llm.store import arrow_map
 from voxelith.llm.textbatch import WordTable, chunks, gather, pretokens
 
 #: Pieces of one recursive query; more are done in turn.
@@ -145,4 +146,4 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return kept.mapInArrow(run, schema)
+    return arrow_map(kept, run, schema)

@@ -20,6 +20,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from voxelith.llm.store import arrow_map
+
 WINDOW = 3
 NEAR = 0.3
 
@@ -209,4 +211,4 @@ def extract(pages: DataFrame, keys: tuple[str, ...] = ("page_id", "url"), html_c
                 [*(batch.column(i) for i in range(len(keys))), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*keys, "text", "n_chars"]
             )
 
-    return kept.mapInArrow(run, f"{fields}, text string, n_chars bigint")
+    return arrow_map(kept, run, f"{fields}, text string, n_chars bigint")

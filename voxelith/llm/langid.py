@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxelith.llm.store import arrow_map
+
 #: Hash buckets of n-grams.
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -67,7 +69,7 @@ def _document_frequency(train: DataFrame) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(df[at])], ["bucket", "n"])
 
-    rows = train.select("text").mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # BUCKETS + 1 at most
+    rows = arrow_map(train.select("text"), run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # BUCKETS + 1 at most
     out = np.zeros(BUCKETS + 1, np.int64)
     for r in rows:
         out[r["bucket"]] = r["n"]
@@ -158,7 +160,7 @@ def fit(train: DataFrame, key: str = "doc_id") -> Model:
 
     rows = [
         (np.frombuffer(r["at"], np.int32).astype(np.int64), np.frombuffer(r["x"], np.float32).astype(float), where[r["lang"]])
-        for r in drawn.select("text", "lang").mapInArrow(run, "lang string, at binary, x binary").toLocalIterator()
+        for r in arrow_map(drawn.select("text", "lang"), run, "lang string, at binary, x binary").toLocalIterator()
     ]
     aside = rows[::5] if len(rows) >= 20 else []
     used = [r for i, r in enumerate(rows) if i % 5] if aside else rows
@@ -183,4 +185,4 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
                 [batch.column(0), batch.column(1), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [key, "held_out", "lang_pred", "score"]
             )
 
-    return kept.mapInArrow(run, f"`{key}` {kept.schema[0].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
+    return arrow_map(kept, run, f"`{key}` {kept.schema[0].dataType.simpleString()}, held_out boolean, lang_pred string, score double")

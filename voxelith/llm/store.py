@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -33,6 +34,18 @@ def stored(df: DataFrame) -> DataFrame:
     return out
 
 
+#: Bytes and rows of a batch that Python workers get; batches of texts are copied a few times there.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 2000
+
+
+def arrow_map(df: DataFrame, function, schema) -> DataFrame:
+    """df.mapInArrow with batches small enough for several workers in one executor."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df.mapInArrow(function, schema)
+
+
 def drop(df: DataFrame | None) -> None:
     """Delete a stored table that no later plan reads."""
     path = getattr(df, "_stored_at", None)
@@ -40,6 +53,13 @@ def drop(df: DataFrame | None) -> None:
         _delete(df.sparkSession, path)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the driver notice which shuffles nothing refers to any more, so that executors delete their files now and not
+    when the driver happens to collect its garbage; for operators of many large steps."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
