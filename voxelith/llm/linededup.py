@@ -7,13 +7,13 @@ A line is the set of its distinct words.  Two lines match if the Jaccard similar
    A line's words are ordered by rarity: bucket count, then hash.
 2. Equal sets are one class with its first line; the other lines of the class go.
 3. Firsts of classes are joined on the words of their prefixes (size - ceil(similarity * size) + 1 rarest words), with the
-   length and positional filters.  Each first is tried against the first member of its groups; only those without a
+   length and positional filters, and one on 64-bit maps of the sets: their bits differ in no more places than the sets do.  Each first is tried against the first member of its groups; only those without a
    match there are tried against all earlier members, so groups of copies do not grow with their square.
-4. Candidates are verified on the words themselves.
+4. Candidates are verified on their whole sets.
 
 Lines of fewer than ``min_words`` distinct words (headings, list marks) are left alone.  Null or empty texts have no lines.
 Rows of null doc_id take no part.  Rows that repeat a doc_id count as one document: their lines go by number.  Empty
-tables give no rows.  Word hashes of 64 bits order and find; verification compares words.
+tables give no rows.  Words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -22,9 +22,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelith.llm.graph import sized
-from voxelith.llm.store import drop, stored
+from voxelith.llm.store import drop, release, stored
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 18
 SIMILARITY_PERCENT = 80
 MIN_WORDS = 5
 _SPACES = r"[\x20\x09-\x0D]+"
@@ -35,30 +35,31 @@ def word_ranks(docs: DataFrame, text: str = "text") -> Column:
     words = docs.select(F.explode(F.split(text, _SPACES)).alias("w"))
     counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("b")).agg(F.count("*").alias("n")).collect()  # at most BUCKETS rows
     rank = [0] * BUCKETS
-    for i, r in enumerate(sorted(counts, key=lambda r: (r["n"], r["b"]))):
-        rank[r["b"]] = i
+    for i, (_, bucket) in enumerate(sorted((r[1], r[0]) for r in counts)):
+        rank[bucket] = i
     return F.split(F.lit(",".join(map(str, rank))), ",").cast("array<bigint>")
 
 
 def keyed_lines(docs: DataFrame, ranks: Column, percent: int, min_words: int, key: str, text: str) -> DataFrame:
-    """(id, line, s1, s2, size, prefix): every line that takes part; s1 and s2 name its set."""
+    """(id, line, s1, s2, size, prefix, map): every line that takes part; s1 and s2 name its set."""
     lines = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.posexplode(F.split(text, "\n")).alias("line", "t"))
     df = lines.select("id", "line", F.array_distinct(F.array_remove(F.split("t", _SPACES), "")).alias("w")).where(F.size("w") >= min_words)
     df = df.withColumn("h", F.transform("w", lambda w: F.xxhash64(w)))
-    mask = F.lit((1 << 47) - 1)
-    df = df.select("id", "line", F.array_sort(F.transform("h", lambda h: F.shiftleft(F.get(ranks, F.pmod(h, F.lit(BUCKETS)).cast("int")), 47).bitwiseOR(h.bitwiseAND(mask)))).alias("k"))
+    mask = F.lit((1 << 45) - 1)
+    df = df.select("id", "line", F.expr("aggregate(h, 0L, (a, x) -> a | shiftleft(1L, cast(x & 63 as int)))").alias("map"), F.array_sort(F.transform("h", lambda h: F.shiftleft(F.get(ranks, F.pmod(h, F.lit(BUCKETS)).cast("int")), 45).bitwiseOR(h.bitwiseAND(mask)))).alias("k"))
     size = F.size("k")
     return df.select(
         "id", "line", F.xxhash64("k").alias("s1"), F.xxhash64(F.lit(1), "k").alias("s2"), size.alias("size"),
-        F.slice("k", F.lit(1), (size - F.ceil(size * F.lit(percent) / 100) + 1).cast("int")).alias("prefix"),
+        F.slice("k", F.lit(1), (size - F.ceil(size * F.lit(percent) / 100) + 1).cast("int")).alias("prefix"), "map",
     )
 
 
 def _may_match(a: str, b: str, percent: int) -> Column:
-    """Length and positional filters for a shared word at places pa, pb of sets of sizes na, nb."""
-    na, nb, pa, pb = (F.col(f"{c}{x}") for c in "np" for x in (a, b))
+    """Length, positional and map filters for a shared word at places pa, pb of sets of sizes na, nb and maps ma, mb."""
+    na, nb, pa, pb, ma, mb = (F.col(f"{c}{x}") for c in "npm" for x in (a, b))
     most = 1 + F.least(na - pa - 1, nb - pb - 1) + F.least(pa, pb)
-    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * most >= percent * (na + nb))
+    apart = F.bit_count(ma.bitwiseXOR(mb)) * (100 + percent) <= (100 - percent) * (na + nb)
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * most >= percent * (na + nb)) & apart
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, percent: int, key: str, text: str) -> DataFrame:
@@ -67,11 +68,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int, key: str, text: s
     small = sized(wanted)
     owners = docs.join(sized(stored(wanted.select(F.col("id").alias(key)).distinct())), key, "left_semi")
     lines = owners.select(F.col(key).alias("id"), F.posexplode(F.split(text, "\n")).alias("line", "t")).join(small, ["id", "line"], "left_semi")
-    sets = stored(lines.select(F.struct("id", "line").alias("x"), F.array_distinct(F.array_remove(F.split("t", _SPACES), "")).alias("w")))
+    words = F.array_distinct(F.array_remove(F.split("t", _SPACES), ""))
+    sets = stored(lines.select(F.struct("id", "line").alias("x"), F.transform(words, lambda w: F.xxhash64(w)).alias("w")))
     both = pairs.join(sets.select(F.col("x").alias("a"), F.col("w").alias("wa")), "a").join(sets.select(F.col("x").alias("b"), F.col("w").alias("wb")), "b")
     shared = F.size(F.array_intersect("wa", "wb"))
     out = stored(both.where(100 * shared >= percent * (F.size("wa") + F.size("wb") - shared)).select("a", "b"))
     drop(wanted), drop(sets)
+    release(docs.sparkSession)
     return out
 
 
@@ -80,22 +83,29 @@ def removed_lines(docs: DataFrame, percent: int = SIMILARITY_PERCENT, min_words:
     docs = docs.select(key, text)
     lines = stored(keyed_lines(docs, word_ranks(docs, text), percent, min_words, key, text))
     here = F.struct("id", "line")
-    firsts = lines.groupBy("s1", "s2").agg(F.min(F.struct(F.col("id"), F.col("line"), F.col("size"), F.col("prefix"))).alias("f")).select("f.*")
-    firsts = stored(firsts)
+    again = stored(lines.groupBy("s1", "s2").agg(F.min(here).alias("f"), F.count("*").alias("n")).where("n > 1").select("s1", "s2", "f"))
+    copies = stored(lines.select("id", "line", "s1", "s2").join(again, ["s1", "s2"]).where(here != F.col("f")).select("id", "line"))
+    firsts = lines.join(sized(copies), ["id", "line"], "left_anti")
     # one exchange serves the count and the join; a word in many lines ranks last, so it is in few prefixes
-    keys = firsts.select(F.posexplode("prefix").alias("px", "key"), here.alias("x"), F.col("size").alias("nx")).repartition("key")
-    groups = keys.groupBy("key").agg(F.min(F.struct(F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("px").alias("py"))).alias("f"), F.count("*").alias("n")).where("n > 1")
-    shared = stored(keys.join(groups.select("key", "f.*"), "key"))  # words that two firsts or more share, with the group's first
-    star = stored(shared.where(F.col("x") != F.col("y")).where(_may_match("x", "y", percent)).select(F.col("y").alias("a"), F.col("x").alias("b")).distinct())
+    keys = firsts.select(F.posexplode("prefix").alias("px", "key"), here.alias("x"), F.col("size").alias("nx"), F.col("map").alias("mx")).repartition("key")
+    groups = keys.groupBy("key").agg(F.min(F.struct(F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("px").alias("py"), F.col("mx").alias("my"))).alias("f"), F.count("*").alias("n"))
+    near = (F.col("x") != F.col("y")) & _may_match("x", "y", percent)
+    joined = keys.join(groups.where("n > 1").select("key", "f.*", "n"), "key").withColumn("near", near)
+    shared = stored(joined.where("n > 2 or near"))  # a group of two is decided by its first
+    drop(lines)
+    release(docs.sparkSession)
+    star = stored(shared.where("near").select(F.col("y").alias("a"), F.col("x").alias("b")).distinct())
     done = _verified(star, docs, percent, key, text)
     matched = stored(done.select(F.col("b").alias("x")).distinct())
-    open_ = shared.join(sized(matched), "x", "left_anti").select("key", F.col("x").alias("b"), F.col("nx").alias("nb"), F.col("px").alias("pb"))
-    every = shared.select("key", F.col("x").alias("a"), F.col("nx").alias("na"), F.col("px").alias("pa"), "y")
-    rest = every.where(F.col("a") != F.col("y")).join(open_, "key").where(F.col("a") < F.col("b")).where(_may_match("a", "b", percent)).select("a", "b").distinct()
-    late = _verified(stored(rest), docs, percent, key, text).select(F.col("b").alias("x")).distinct()
+    many = shared.where("n > 2")
+    open_ = many.where("x <> y").join(sized(matched), "x", "left_anti").select("key", F.col("x").alias("b"), F.col("nx").alias("nb"), F.col("px").alias("pb"), F.col("mx").alias("mb"))
+    every = many.where("x <> y").select("key", F.col("x").alias("a"), F.col("nx").alias("na"), F.col("px").alias("pa"), F.col("mx").alias("ma"))
+    rest = every.join(open_, "key").where(F.col("a") < F.col("b")).where(_may_match("a", "b", percent)).select("a", "b").distinct()
+    rest = stored(rest)
+    drop(shared)
+    release(docs.sparkSession)
+    late = _verified(rest, docs, percent, key, text).select(F.col("b").alias("x")).distinct()
     similar = matched.union(late).select("x.*")
-    again = stored(lines.groupBy("s1", "s2").agg(F.min(here).alias("f"), F.count("*").alias("n")).where("n > 1"))
-    copies = lines.select("id", "line", "s1", "s2").join(again, ["s1", "s2"]).where(here != F.col("f")).select("id", "line")
     return stored(similar.union(copies).distinct())
 
 
