@@ -81,3 +81,16 @@ def test_sketches_merge_and_estimate():
 def test_one_of_each_group_stays(spark):
     kept = [r.doc_id for r in keep_representatives(frame(spark)).collect()]
     assert 9 in kept and 10 not in kept and None in kept
+
+
+def test_many_copies_that_are_not_linked_to_their_pivot(spark):
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 160):
+        w = base[:]
+        for _ in range(rng.randrange(1, 5)):
+            at = rng.randrange(120)
+            w[at] = f"e{at % 12}" if rng.random() < 0.5 else f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    check(spark, rows)

@@ -9,8 +9,13 @@ union's sketch is the register-wise maximum (``merge``), and two registers agree
 2. Bands of R registers are hashed.  In each band, representatives are paired with the band's smallest and largest only.
 3. The joint likelihood of (K_a > K_b, K_a < K_b, equal), given the set sizes, estimates the similarity; pairs far
    below the threshold are dropped (MARGIN is over seven standard deviations), the others are verified on full sets.
-4. Components of the verified links.  Where a band still holds several components, all pairs across them are verified
-   too, so no pair that shares a band is left undecided; components again.
+4. Components of the verified links.  Where a band still holds several components, STARS further rounds try its members
+   against the smallest id outside the component of the band's pivot.
+5. What is left is decided by differences from the pivot p: with D_X = X xor p, |A xor B| = |D_A| + |D_B| - 2 |D_A and D_B|,
+   so of a link across components, where A is not linked to p, D_A and D_B share at least t elements, t following from
+   B's and p's sizes.  Any |D_B| - t + 1 elements of D_B then hold one of D_A's.  Those that p lacks are
+   taken first, as copies of one document rarely share them, so an equality join on (p, element) finds every
+   such pair without trying all pairs of a group of copies.  Pairs found are verified on full sets; components again.
 
 With 32 bands of 4, a link at the threshold of 0.85 is missed with probability 1e-10, at 0.8 with 2e-8.
 Elements are 64-bit hashes of words, so sets are full but for collisions (below 1e-12 a pair).
@@ -29,12 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelith.llm.graph import components, sized
-from voxelith.llm.store import drop, stored
+from voxelith.llm.store import arrow_map, drop, stored
 from voxelith.llm.textbatch import chunks, mix, shingle_hashes, span_hashes, word_spans
 
 M, R = 128, 4
 BASE, RATE, TOP = 1.02, 20.0, 4096
 MARGIN = 0.3
+#: Further rounds against one member of each band.
+STARS = 2
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +118,7 @@ def sketches(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
                     [batch.column(0).slice(first, len(at) - 1), pa.array(np.diff(at)), *map(pa.array, sums), pa.array([r.tobytes() for r in regs], pa.binary())], ["id", "n", "s1", "s2", "regs"]
                 )
 
-    return kept.mapInArrow(run, f"id {kept.schema[0].dataType.simpleString()}, n bigint, s1 bigint, s2 bigint, regs binary")
+    return arrow_map(kept, run, f"id {kept.schema[0].dataType.simpleString()}, n bigint, s1 bigint, s2 bigint, regs binary")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
@@ -125,7 +132,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, k: int, id_col: str, text_col: st
                 sets = [h[a:b].astype("<u8").tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sets)), pa.array(sets, pa.binary())], ["id", "elems"])
 
-    return kept.mapInArrow(run, f"id {kept.schema[0].dataType.simpleString()}, elems binary")
+    return arrow_map(kept, run, f"id {kept.schema[0].dataType.simpleString()}, elems binary")
 
 
 def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -143,7 +150,7 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent
                 ok = estimate(ka, kb, t.column(2).to_numpy().astype(float), t.column(3).to_numpy().astype(float)) >= floor
                 yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], ["a", "b"]).filter(pa.array(ok))
 
-    near = stored(rows.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(likely, f"a {kind}, b {kind}"))
+    near = stored(arrow_map(rows.select("a", "b", "na", "nb", "ra", "rb"), likely, f"a {kind}, b {kind}"))
     ids = stored(near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct())
     sets = stored(full_sets(docs, ids, k, id_col, text_col))
     of = lambda x: sets.select(F.col("id").alias(x), F.col("elems").alias(f"e{x}"))
@@ -158,11 +165,58 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent
                 ok.append(100 * both >= percent * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    out = stored(near.join(of("a"), "a").join(of("b"), "b").select("a", "b", "ea", "eb").mapInArrow(exact, f"a {kind}, b {kind}"))
+    out = stored(arrow_map(near.join(of("a"), "a").join(of("b"), "b").select("a", "b", "ea", "eb"), exact, f"a {kind}, b {kind}"))
     drop(near), drop(ids), drop(sets)
     return out
 
 
+def differences(data: np.ndarray, pivot: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Of a sorted set and its pivot: the difference's elements (those that the pivot lacks first), the part of them that
+    must hold an element of the difference of any set linked to it but not to the pivot, and whether it is linked itself."""
+    spot = np.minimum(np.searchsorted(pivot, data), len(pivot) - 1)
+    both = pivot[spot] == data
+    d = np.concatenate([data[~both], np.setdiff1d(pivot, data, assume_unique=True)])
+    shared = int(both.sum())
+    linked = 100 * shared >= percent * (len(data) + len(pivot) - shared)
+    n, m, q = len(data), len(d), 100 + percent
+    t = max(1, (m * q + (100 - percent) * (len(pivot) - n)) // (2 * q) + 1)  # |D_A| exceeds (100 - percent) / q of |A| + |p|
+    return d, d[: max(0, m - t + 1)], linked
+
+
+def across_components(shared: DataFrame, label: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Stored pairs (a, b) of different components that share a band and may be linked (step 5)."""
+    member = stored(shared.join(label, "id", "left").select("key", "id", "lo", F.coalesce("component", "id").alias("component")))
+    mixed = stored(member.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("key"))
+    pairs = stored(member.join(mixed, "key").select(F.col("lo").alias("p"), F.col("id").alias("x"), "component").where("p <> x").distinct())
+    ids = stored(pairs.select(F.col("p").alias("id")).union(pairs.select(F.col("x").alias("id"))).distinct())
+    sets = stored(full_sets(docs, ids, k, id_col, text_col))
+    of = lambda c: sets.select(F.col("id").alias(c), F.col("elems").alias(f"e{c}"))
+    kind = pairs.schema["x"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            rows, role, elems = [], [], []
+            for i, (x, y) in enumerate(zip(t.column(3), t.column(4), strict=True)):
+                d, part, linked = differences(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8"), percent)
+                for r, e in ((0, d if not linked else d[:0]), (1, part)):
+                    rows.append(np.full(len(e), i)), role.append(np.full(len(e), r)), elems.append(e)
+            if rows:
+                at = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays(
+                    [*(t.column(c).take(at) for c in range(3)), pa.array(np.concatenate(role).astype(np.int32)), pa.array(np.concatenate(elems).astype(np.uint64).view(np.int64))],
+                    ["p", "x", "component", "role", "e"],
+                )
+
+    both = pairs.join(of("x"), "x").join(of("p"), "p").select("p", "x", "component", "ex", "ep")
+    rows = stored(arrow_map(both, run, f"p {kind}, x {kind}, component {kind}, role int, e bigint"))
+    left = rows.where("role = 0").select("p", "e", F.col("x").alias("a"), F.col("component").alias("ca"))
+    right = rows.where("role = 1").select("p", "e", F.col("x").alias("b"), F.col("component").alias("cb"))
+    found = left.join(right, ["p", "e"]).where("ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    out = stored(found)
+    drop(member), drop(mixed), drop(pairs), drop(ids), drop(sets), drop(rows)
+    return out
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_shingles, component_id, kept."""
     all_rows = stored(sketches(docs, k, id_col, text_col))
@@ -180,12 +234,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, id_col: str
     )
     links = verified(star, reps, docs, k, percent, id_col, text_col)
     label = components(links)
-    member = shared.select("key", "id").join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    member = stored(member)
-    mixed = stored(member.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("key"))
-    rest = stored(member.join(mixed, "key"))
-    left, right = rest.select("key", F.col("id").alias("a"), F.col("component").alias("ca")), rest.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
-    across = stored(left.join(right, "key").where("a < b and ca <> cb").select("a", "b").distinct().join(star, ["a", "b"], "left_anti"))
+    for _ in range(STARS):
+        member = shared.join(label, "id", "left").select("key", "id", "lo", F.coalesce("component", "id").alias("c"))
+        member = stored(member.join(label.select(F.col("id").alias("lo"), F.col("component").alias("cl")), "lo", "left").select("key", "id", "c", F.coalesce("cl", "lo").alias("cl")))
+        second = stored(member.where("c <> cl").groupBy("key").agg(F.min(F.struct("id", "c")).alias("s")).select("key", "s.id", "s.c").toDF("key", "p", "cp"))
+        more = member.join(second, "key").where("c <> cp and id <> p").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
+        more = stored(more.join(star, ["a", "b"], "left_anti"))
+        if not more.limit(1).count():
+            break
+        links = stored(links.union(verified(more, reps, docs, k, percent, id_col, text_col)))
+        star = stored(star.union(more))
+        label = components(links)
+    across = stored(across_components(shared, label, docs, k, percent, id_col, text_col).join(star, ["a", "b"], "left_anti"))
     if across.limit(1).count():
         label = components(links.union(verified(across, reps, docs, k, percent, id_col, text_col)))
     named = reps.select("s1", "s2", F.col("id").alias("rep")).join(label, F.col("rep") == label["id"], "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id"))
