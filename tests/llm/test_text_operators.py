@@ -195,3 +195,17 @@ def test_pages(spark):
         inner = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
         blocks = [" ".join(h.unescape(re.sub(r"<(?!/?(?:p|h1)\b)[^>]*>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)[^>]*>", inner)]
         assert main_text(r.html) == "\n".join(b for b in blocks if b)
+
+
+def test_html_keeps_what_adverts_interrupt():
+    long, short, ad = "A long paragraph of the article. " * 40, "A short one.", "<div class='advert'>Buy</div>"
+    L = long.strip()
+    for tag in ("<div class='content'>", "<section>"):
+        end = f"</{tag[1:].split()[0].strip('>')}>"
+        page = f"<html><body><div><a href='/'>Home</a></div>{tag}<p>{short}</p>{ad}<p>{long}</p>{ad}<p>{short}</p>{ad}<p><a href='x'>See the source</a></p><p>{long}</p>{ad}tail text{end}<div><a href='/x'>More</a></div></body></html>"
+        assert main_text(page) == "\n".join([short, L, short, "See the source", L, "tail text"])
+    # a short part outside the main container, between two parts that are heavy
+    page = f"<body><div><p>{long}</p></div>{ad}<div><p>{short}</p></div>{ad}<div><p>{long}</p></div></body>"
+    assert main_text(page) == "\n".join([L, short, L])
+    page = f"<body><article><p>{short}</p></article><div>aside words</div><article><p>{long}</p></article><article class='comment'><p>{long}</p></article></body>"
+    assert main_text(page) == f"{short}\n{L}"

@@ -3,9 +3,10 @@
 The page is stripped of comments, scripts, styles and other unseen elements, and of what names itself a menu, header,
 footer, sidebar, notice, advert, form or reader comment; each block of what stays is a line.  Stripped elements, links
 only, and the edges of an article leave WINDOW empty lines.  Text lengths are summed over sliding windows of WINDOW
-lines: the distribution surges where a window's sum leaves zero and dives where it returns there.  Of the stretches
-between surge and dive, those of an article come first, then the heaviest; on pages that mark no article,
-neighbouring stretches of at least NEAR times its peak are taken with it, and what lies between them.
+lines: the distribution surges where a window's sum leaves zero and dives where it returns there.  The text is that of
+all articles; on pages that mark none, the heaviest stretch between surge and dive names the main container, the innermost
+element around it, whose stretches are all taken, short ones too, with others of at least NEAR times its peak and what lies
+between them.  Lines of links only are kept between the first and last stretch if they lie in the container.
 
 White space, no-break spaces too, becomes one space inside a block; blocks are joined by one line feed.  A null or
 empty page, or one without text, gives the empty string.  Markup may be unclosed, nested wrongly or cut off anywhere.
@@ -14,6 +15,7 @@ empty page, or one without text, gives the empty string.  Markup may be unclosed
 from __future__ import annotations
 
 import html
+import os.path
 import re
 from collections.abc import Iterator
 
@@ -41,6 +43,8 @@ PARTS = frozenset(
     "toolbar topbar widget widgets".split()
 )
 WHOLE = frozenset("content article post entry main story".split())
+#: Blocks that hold one paragraph: the container of a line is the element around them.
+SINGLE = frozenset("p h1 h2 h3 h4 h5 h6 pre li dd dt".split())
 
 _TOKEN = re.compile(
     rf"""<!--.*?(?:-->|\Z)|<({RAW})\b(?:"[^"]*"|'[^']*'|[^'">])*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<[!?/][^>]*>|<[a-zA-Z/!?][^<>]*\Z""",
@@ -75,27 +79,35 @@ def _strips(name: str, attrs: str, in_article: bool) -> bool:
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """(text, number of the article it is in or 0, is it links only) of each block; stripped parts are ("", ...) lines."""
-    out: list[tuple[str, int, bool]] = []
+def lines_of(page: str) -> list[tuple[str, int, bool, tuple[int, ...]]]:
+    """(text, number of the article it is in or 0, is it links only, elements around it) of each block; stripped parts are ("", ...) lines."""
+    out: list[tuple[str, int, bool, tuple[int, ...]]] = []
     buf: list[str] = []
     stack: list[str] = []
+    ids: list[int] = []  # of the stack's elements
+    elements = 0
     strip_at = 0  # depth of the stripped element, plus one
     article_at = number = links = linked = total = 0
 
+    def around() -> tuple[int, ...]:
+        n = len(stack)
+        while n and (stack[n - 1] not in BLOCKS or stack[n - 1] in SINGLE):
+            n -= 1
+        return tuple(ids[:n])
+
     def close() -> None:
         nonlocal linked, total
         if buf:
             text = " ".join(html.unescape("".join(buf)).split())
             if text:
-                out.append((text, number if article_at else 0, total > 0 and linked >= 0.9 * total))
+                out.append((text, number if article_at else 0, total > 0 and linked >= 0.9 * total, around()))
             buf.clear()
         linked = total = 0
 
     def gap() -> None:
         close()
         if not article_at:
-            out.extend([("", 0, False)] * WINDOW)
+            out.extend([("", 0, False, ())] * WINDOW)
 
     at = 0
     for m in _TOKEN.finditer(page):
@@ -112,9 +124,12 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         if m[2]:  # an end tag
             if name == "a" and not strip_at:
                 links = max(0, links - 1)
+            if name in BLOCKS and not strip_at:
+                close()
             if name in stack:
                 while stack:
                     top = stack.pop()
+                    ids.pop()
                     if strip_at > len(stack):
                         strip_at = 0
                     if article_at > len(stack):
@@ -138,22 +153,23 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             if not strip_at:
                 close()
             if stack and stack[-1] == "p":
-                stack.pop()
+                stack.pop(), ids.pop()
             if name in ("li", "option", "td", "th", "tr", "dd", "dt") and stack and stack[-1] == name:
-                stack.pop()
+                stack.pop(), ids.pop()
                 if strip_at > len(stack):
                     strip_at = 0
         elif name == "a" and not strip_at:
             links = 1
         if m[4].endswith("/") and name not in BLOCKS:
             continue
+        elements += 1
         if not strip_at and name in ("article", "main") and not article_at and not _strips(name, m[4], False):
             gap()
             number += 1
-            stack.append(name)
+            stack.append(name), ids.append(elements)
             article_at = len(stack)
             continue
-        stack.append(name)
+        stack.append(name), ids.append(elements)
         if not strip_at and _strips(name, m[4], bool(article_at)):
             gap()
             strip_at = len(stack)
@@ -183,20 +199,20 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     lines = lines_of(page)
-    sizes = [0 if only_links and not art else len(text) for text, art, only_links in lines]
+    if any(art for _, art, _, _ in lines):
+        text = "\n".join(t for t, art, _, _ in lines if t and art)
+        if text:
+            return text
+    sizes = [0 if only_links else len(text) for text, _, only_links, _ in lines]
     found = stretches(sizes)
     if not found:
         return ""
-    mass = lambda s: sum(sizes[s[0] : s[1]])
-    inside = [s for s in found if any(lines[i][1] for i in range(s[0], s[1]) if sizes[i])]
-    best = max(inside or found, key=lambda s: (mass(s), -s[0]))
-    a = b = found.index(best)
-    if not inside:
-        while a and found[a - 1][2] >= NEAR * best[2]:
-            a -= 1
-        while b + 1 < len(found) and found[b + 1][2] >= NEAR * best[2]:
-            b += 1
-    return "\n".join(lines[i][0] for i in range(found[a][0], found[b][1]) if sizes[i])
+    best = max(found, key=lambda s: (sum(sizes[s[0] : s[1]]), -s[0]))
+    paths = [lines[i][3] for i in range(best[0], best[1]) if sizes[i]]
+    main = os.path.commonprefix(paths)
+    inside = lambda i: lines[i][3][: len(main)] == main
+    kept = [s for s in found if s[2] >= NEAR * best[2] or any(sizes[i] and inside(i) for i in range(s[0], s[1]))]
+    return "\n".join(lines[i][0] for i in range(kept[0][0], kept[-1][1]) if sizes[i] or lines[i][0] and inside(i))
 
 
 def extract(pages: DataFrame, keys: tuple[str, ...] = ("page_id", "url"), html_col: str = "html") -> DataFrame:
