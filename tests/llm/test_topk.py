@@ -41,3 +41,14 @@ def test_odd_rows(spark):
     got = top_k(df, df.where("vec_id % 20 = 0")).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r["rank"], r.vec_id) for r in got] == [(0, 1, 1), (0, 2, 6), (0, 3, 20), (20, 1, 0), (20, 2, 1), (20, 3, 6)]
     assert top_k(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_search_is_exact_for_large_components():
+    rng = np.random.default_rng(5)
+    v = np.concatenate([np.full((2000, 1), 100_000), rng.integers(0, 2, (2000, 40))], axis=1)
+    q = np.concatenate([np.full((20, 1), 100_000), rng.integers(100, 900, (20, 40))], axis=1)  # sums of 1e10, told apart by hundreds
+    ids = rng.permutation(2000)
+    i, j, s = Block(ids, v).search(np.full(20, -1), q, 20)
+    for n in range(20):
+        score = v @ q[n]
+        assert sorted(zip((-s[i == n]).tolist(), ids[j[i == n]].tolist())) == sorted(zip((-score).tolist(), ids.tolist()))[:20]

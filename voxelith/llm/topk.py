@@ -48,7 +48,7 @@ class Block:
         level = (v[:, :, None] >= cuts.T[None, :, :]).sum(2) if levels > 1 else np.zeros(v.shape, int)
         self.low, self.high = np.zeros((self.dims, levels)), np.zeros((self.dims, levels))
         self.used = np.zeros((self.dims, levels), bool)
-        self.member = np.zeros((self.dims * levels, len(v)), np.float32)
+        self.member = np.zeros((self.dims * levels, len(v)))  # float64: sums of bounds are exact up to 2^53
         for j in range(levels):
             here = level == j
             self.used[:, j] = here.any(0)
@@ -72,7 +72,7 @@ class Block:
                 lower = np.where(done, worst[open_], np.where(done, np.inf, w).min(2, keepdims=True))
             else:
                 upper, lower = best[open_], worst[open_]
-            upper, lower = (np.where(self.used & np.isfinite(x), x, 0).reshape(len(open_), -1).astype(np.float32) for x in (upper, lower))
+            upper, lower = (np.where(self.used & np.isfinite(x), x, 0).reshape(len(open_), -1) for x in (upper, lower))
             most, least = upper @ self.member, lower @ self.member
             own = qids[open_][:, None] == self.ids[None, :]
             most[own] = least[own] = -np.inf
