@@ -5,6 +5,7 @@
 3. Multiplicative weights solve the fractional configuration program: each length has a price, a knapsack dynamic program
    finds the most valuable configuration, the prices of what it covers fall.
 4. The mixture is scaled to the counts and rounded down; what stays is placed by best fit, longest first, over lengths.
+   ROUNDS do not cover a broad histogram; best fit then places nearly everything (README has the shares).
 5. Each piece gets its rank among those of its length (salted, so that one common length is spread over tasks) and the
    plan turns (length, rank) into a sequence and a place in it.
 
