@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -13,6 +14,7 @@ import pyarrow as pa
 import pytest
 import regex
 import tiktoken
+from pyspark.sql import functions as F
 from tests.llm.helpers import ODD, SF, WORD, documents, frame, wide
 from tokenizers import Tokenizer
 
@@ -20,7 +22,7 @@ from voxelith.llm.bpe import encode_decode
 from voxelith.llm.htmltext import extract, main_text
 from voxelith.llm.langid import fit, held_out, identify, temperature
 from voxelith.llm.packing import _best_fit, pack, plan
-from voxelith.llm.quality import RULES, cascade, judge, measure
+from voxelith.llm.quality import RULES, cascade, judge, keep_good, measures
 from voxelith.llm.sharding import shard_rows, walk
 from voxelith.llm.textbatch import chunks, pretokens
 
@@ -142,14 +144,26 @@ def test_quality_counts_and_order_of_rules(spark):
         (i, *quality_brute(t)) for i, t in rows
     )
     kept = {r.doc_id: r.kept for r in got.collect()}
-    measured = measure(frame(spark, rows))
-    assert kept == {r.doc_id: r.kept for r in cascade(measured, RULES[::-1]).collect()}
+    measured = frame(spark, rows).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("q", measures(F.col("text")))
+    assert kept == {r.doc_id: r.kept for r in measured.select("doc_id", cascade(F.col("q"), F.col("text"), RULES[::-1]).alias("kept")).collect()}
     labels = spark.read.parquet(f"{SF}/labels.parquet").collect()
     good = [kept[r.doc_id + 1000] for r in labels if r.quality == 1]
     assert sum(good) >= 0.9 * len(good)
     assert judge(frame(spark, [])).count() == 0
 
 
+def test_quality_filters_stay_linear_and_names_may_clash(spark):
+    long = [(1, "word " * 100_000), (2, " ".join(f"w{i}" for i in range(100_000))), (3, None)]
+    began = time.perf_counter()
+    assert [r.doc_id for r in judge(frame(spark, long)).where("kept and n_repeat_words = 0").select("doc_id").collect()] == [2]
+    assert [r.doc_id for r in keep_good(frame(spark, long)).select("doc_id").collect()] == [2]
+    assert time.perf_counter() - began < 60
+    odd = frame(spark, long).selectExpr("doc_id", "text", "'mine' as n_words", "'mine' as kept", "'mine' as q", "'mine' as row", "'mine' as t")
+    got = judge(odd).collect()
+    assert len(got) == 3 and all(r.q == r.row == r.t == "mine" and r.n_words in (0, 100_000) for r in got)
+    assert keep_good(odd).select("doc_id", "n_words", "kept").collect() == [(2, "mine", "mine")] and keep_good(odd).columns == odd.columns
+
+
 def test_sharding_is_even_and_stable(spark):
     rows = all_rows() + [(7, "x")] * 400
     got = shard_rows(frame(spark, rows)).collect()

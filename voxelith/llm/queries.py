@@ -151,7 +151,7 @@ with l as (
   select doc_id, i as line, string_split(coalesce(text, ''), chr(10))[i] as t
   from documents, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) as u(i)),
 s as (select doc_id, line, list_distinct(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) as w from l),
-big as (select row_number() over (order by doc_id, line) as k, doc_id, line, w, len(w) as n from s where len(w) >= 5),
+big as (select row_number() over (order by doc_id, line) as k, doc_id, line, w, len(w) as n from s where len(w) > 0),
 words as (select k, n, unnest(w) as x from big),
 freq as (select x, count(*) as f from words group by 1),
 placed as (select k, n, x, row_number() over (partition by k order by f, x) as p from words join freq using (x)),
