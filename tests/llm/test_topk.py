@@ -52,3 +52,26 @@ def test_search_is_exact_for_large_components():
     for n in range(20):
         score = v @ q[n]
         assert sorted(zip((-s[i == n]).tolist(), ids[j[i == n]].tolist())) == sorted(zip((-score).tolist(), ids.tolist()))[:20]
+
+
+def test_queries_stop_before_the_last_step_where_that_is_proven():
+    rng = np.random.default_rng(6)
+    v = (rng.standard_normal((4000, 24)) * np.array([400.0] + [4.0] * 23)).astype(np.int64)  # one dimension decides
+    block, seen = Block(np.arange(4000), v), []
+    block.rows = Counting(block.rows, seen)
+    i, j, s = block.search(np.arange(10), v[:10], 20)
+    assert sum(seen) < 0.9 * 10 * v.size
+    for n in range(10):
+        score = v @ v[n]
+        assert sorted(zip((-s[i == n]).tolist(), j[i == n].tolist())) == sorted((-score[x], x) for x in range(4000) if x != n)[:20]
+
+
+class Counting:
+    """Postings that note how many are read."""
+
+    def __init__(self, rows, seen):
+        self.rows, self.seen = rows, seen
+
+    def __getitem__(self, at):
+        self.seen.append(len(at))
+        return self.rows[at]

@@ -1,11 +1,13 @@
 """Exact top-k inner-product search over an impact-ordered, score-at-a-time index.
 
 Vectors become integers, floor(SCALE * x).  A block of index rows holds one posting segment per (dimension, level): the
-rows whose component lies in that level's range.  For a query, a segment's impact is the most that one of its rows can gain
-there, so segments are ordered by descending quantised impact.  Segments are processed in rounds, each down to a
-lower impact; every round leaves a lower and an upper bound of each row's score (parts not yet processed count at
-least and at most what their segments allow).  A query stops when its k-th lower bound proves that few enough rows can
-still be members; those, all of them, are scored exactly.  The last round has processed every segment.
+rows whose component lies in that level's range, with their components.  For a query, a row gains at least ``base`` in each
+dimension, and a segment's impact is the most that one of its rows gains there beyond that.  Impacts are quantised to STEPS
+steps and segments are processed by descending step: every row of a segment gets its gain added to an accumulator.  So an
+accumulator is a lower bound of the row's score, and with what the dimensions not yet met for the row can still
+give (no more than the next step's impact each, and than their sum) it is an upper bound.  After each step a query stops
+if its k-th lower bound proves that few enough rows can still be members; those, all of them, are scored exactly.  After
+the last step accumulators are exact.  Sums are of integers below 2^53 in float64, so the proof has no rounding.
 
 Query blocks meet index blocks in a grid, so no side is broadcast or collected; each cell keeps at most k rows a
 query, and a query's cells are merged.
@@ -24,8 +26,8 @@ from pyspark.sql import functions as F
 
 SCALE = 64
 LEVELS = 8
-#: Shares of a query's segments that the rounds process.
-ROUNDS = (0.35, 1.0)
+#: Steps that impacts are quantised to.
+STEPS = 16
 #: A query stops when no more rows than this many times k can be members (or when nothing is left).
 FEW = 16
 #: Rows of an index block and of a query block, about.
@@ -39,56 +41,59 @@ def integers(rows: DataFrame, key: str, vec: str, scale: int) -> DataFrame:
 
 
 class Block:
-    """Posting segments of some index rows, as a 0/1 matrix with one row per (dimension, level)."""
+    """Posting segments of some index rows: segment d * levels + j holds the rows (and components) of level j in dimension d."""
 
     def __init__(self, ids: np.ndarray, v: np.ndarray, levels: int = LEVELS):
         self.ids, self.v, self.dims, self.levels = ids, v, v.shape[1], levels
         order = np.sort(v, axis=0)
         cuts = order[np.linspace(0, len(v) - 1, levels + 1).astype(int)[1:-1]]  # equal shares of the block's rows
         level = (v[:, :, None] >= cuts.T[None, :, :]).sum(2) if levels > 1 else np.zeros(v.shape, int)
-        self.low, self.high = np.zeros((self.dims, levels)), np.zeros((self.dims, levels))
-        self.used = np.zeros((self.dims, levels), bool)
-        self.member = np.zeros((self.dims * levels, len(v)))  # float64: sums of bounds are exact up to 2^53
-        for j in range(levels):
-            here = level == j
-            self.used[:, j] = here.any(0)
-            self.low[:, j] = np.where(here, v, np.iinfo(np.int64).max).min(0) * self.used[:, j]
-            self.high[:, j] = np.where(here, v, np.iinfo(np.int64).min).max(0) * self.used[:, j]
-            self.member[j :: levels] = here.T
+        by_level = np.argsort(level, axis=0, kind="stable")
+        self.rows = by_level.T.ravel().astype(np.int32)
+        self.values = np.take_along_axis(v, by_level, 0).T.ravel().astype(float)
+        sizes = np.stack([(level == j).sum(0) for j in range(levels)], axis=1)  # dimensions x levels
+        self.at = np.append(0, np.cumsum(sizes.ravel()))
+        self.used = sizes > 0
+        self.low, self.high = np.zeros(sizes.shape), np.zeros(sizes.shape)
+        for seg in np.flatnonzero(self.used):
+            inside = self.values[self.at[seg] : self.at[seg + 1]]
+            self.low.flat[seg], self.high.flat[seg] = inside.min(), inside.max()
 
     def search(self, qids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query row, index row, score) of each query's k best here."""
-        worst, best = np.minimum(q[:, :, None] * self.low, q[:, :, None] * self.high), np.maximum(q[:, :, None] * self.low, q[:, :, None] * self.high)
-        best_known, worst_known = np.where(self.used, best, -np.inf), np.where(self.used, worst, np.inf)
-        open_, out = np.arange(len(q)), []
-        for share in ROUNDS:
-            b, w = best_known[open_], worst_known[open_]
-            if share < 1:
-                impact = np.where(self.used, b, -np.inf).reshape(len(open_), -1)
-                least = -np.partition(-impact, int(share * impact.shape[1]) - 1, axis=1)[:, int(share * impact.shape[1]) - 1]
-                done = self.used & (b >= least[:, None, None])
-                # what is not processed lies below the processed segments of its dimension
-                upper = np.where(done, best[open_], np.where(done, -np.inf, b).max(2, keepdims=True))
-                lower = np.where(done, worst[open_], np.where(done, np.inf, w).min(2, keepdims=True))
-            else:
-                upper, lower = best[open_], worst[open_]
-            upper, lower = (np.where(self.used & np.isfinite(x), x, 0).reshape(len(open_), -1) for x in (upper, lower))
-            most, least = upper @ self.member, lower @ self.member
-            own = qids[open_][:, None] == self.ids[None, :]
-            most[own] = least[own] = -np.inf
-            kth = -np.partition(-least, k - 1, axis=1)[:, k - 1] if least.shape[1] > k else np.full(len(open_), -np.inf)
-            able = (most >= kth[:, None]) & ~own
-            stop = (able.sum(1) <= FEW * k) | (share == 1)
-            for i in np.flatnonzero(stop):
-                rows = np.flatnonzero(able[i])
-                score = self.v[rows] @ q[open_[i]]
-                take = np.lexsort((self.ids[rows], -score))[:k]
-                out.append((np.full(len(take), open_[i]), rows[take], score[take]))
-            open_ = open_[~stop]
-            if not len(open_):
-                break
+        out = [self._one(i, qids[i], q[i], k) for i in range(len(q))]
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
+    def _one(self, i: int, qid: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n, weight = len(self.v), q.astype(float)
+        ends = weight[:, None] * self.low, weight[:, None] * self.high
+        base = np.where(self.used, np.minimum(*ends), np.inf).min(1)
+        impact = np.where(self.used, np.maximum(*ends) - base[:, None], -1.0)
+        step = np.where(self.used, np.ceil(STEPS * impact / max(impact.max(), 1.0)), -1).astype(int).ravel()
+        own = self.ids == qid
+        sums, met = np.full(n, base.sum()), np.zeros(n)
+        for now in range(step.max(), -1, -1):
+            segments = np.flatnonzero(step == now)
+            if len(segments):
+                at, many = self.at[segments], self.at[segments + 1] - self.at[segments]
+                where = np.repeat(at - np.cumsum(many) + many, many) + np.arange(many.sum())
+                d = np.repeat(segments // self.levels, many)
+                rows = self.rows[where]
+                sums += np.bincount(rows, self.values[where] * weight[d] - base[d], n)
+                met += np.bincount(rows, minlength=n)
+            elif now:
+                continue
+            left = np.where(step.reshape(impact.shape) < now, impact, 0).max(1)
+            most = sums + np.minimum(left.sum(), left.max() * (self.dims - met))
+            least = np.where(own, -np.inf, sums)
+            kth = -np.partition(-least, k - 1)[k - 1] if n > k else -np.inf
+            able = np.flatnonzero((most >= kth) & ~own)
+            if len(able) <= FEW * k or not now:
+                break
+        score = self.v[able] @ q
+        take = np.lexsort((self.ids[able], -score))[:k]
+        return np.full(len(take), i), able[take], score[take]
+
 
 def top_k(index: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", vec: str = "embedding", scale: int = SCALE) -> DataFrame:
     """(query_id, rank, id, score): each query's k highest integer inner products."""
