@@ -21,7 +21,7 @@ from tokenizers import Tokenizer
 from voxelith.llm.bpe import encode_decode
 from voxelith.llm.htmltext import extract, main_text
 from voxelith.llm.langid import fit, held_out, identify, temperature
-from voxelith.llm.packing import _best_fit, pack, plan
+from voxelith.llm.packing import _best_fit, pack, plan, solve
 from voxelith.llm.quality import RULES, cascade, judge, keep_good, measures
 from voxelith.llm.sharding import shard_rows, walk
 from voxelith.llm.textbatch import chunks, pretokens
@@ -106,6 +106,19 @@ def test_plans_hold_the_histogram_and_are_tight():
     assert plan({}) == []
 
 
+def test_the_configuration_program_places_most_pieces():
+    rng = np.random.default_rng(1)
+    counts = Counter(np.minimum(2048, rng.lognormal(5.5, 1.0, 3000).astype(int) + 1).tolist())
+    for times in (1, 1000):
+        said, many = {}, {k: v * times for k, v in counts.items()}
+        sequences = sum(m for _, m in plan(many, said=said))
+        assert said["program"] >= 0.5 * sequences and said["dual"] <= sequences <= 1.002 * said["dual"] + 1
+        assert sequences <= 1.001 * sum(m for _, m in _best_fit(dict(many), 2048)) + 1
+    lengths = np.array([512, 1024])  # two of the one and one of the other fill a sequence
+    uses, primal, dual = solve(lengths, np.array([200.0, 100.0]), 2048)
+    assert dual == 100 and 100 <= primal <= 102
+
+
 def test_language_id_on_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     model = fit(docs.where(~held_out(docs.doc_id)))

@@ -3,9 +3,12 @@
 1. Tokenise once; documents longer than the capacity are cut, the first piece taking what is left over.
 2. The histogram of piece lengths (at most ``capacity`` entries, whatever the corpus) is all that the driver sees.
 3. Multiplicative weights solve the fractional configuration program: each length has a price, a knapsack dynamic program
-   finds the most valuable configuration, the prices of what it covers fall.
-4. The mixture is scaled to the counts and rounded down; what stays is placed by best fit, longest first, over lengths.
-   ROUNDS do not cover a broad histogram; best fit then places nearly everything (README has the shares).
+   gives the most valuable configuration of every room, hence of every length that must be in it; those near the best
+   are used, and the prices of what they cover fall.  Any prices bound the number of sequences from below (their total
+   value over the best configuration's), so the program ends at a stated GAP between that and what it uses, or after ROUNDS.
+4. Uses are rounded: a configuration is taken as often as its rounded use and the pieces still there allow, if it fills FULL of a
+   sequence.  The program is solved again for what is left while a solution places a tenth of it; the rest is placed by
+   best fit, longest first, over lengths.
 5. Each piece gets its rank among those of its length (salted, so that one common length is spread over tasks) and the
    plan turns (length, rank) into a sequence and a place in it.
 
@@ -29,8 +32,10 @@ from voxelith.llm.store import arrow_map, stored
 from voxelith.llm.textbatch import WordTable, chunks, gather, pretokens
 
 CAPACITY = 2048
-#: Rounds of multiplicative weights.
-ROUNDS = 120
+#: Rounds of multiplicative weights at most, solutions for what is left at most, and the relative gap at which rounds end.
+ROUNDS, SOLUTIONS, GAP = 40, 3, 0.01
+#: Share of a sequence that a rounded configuration must fill.
+FULL = 0.999
 #: Distinct pieces of text that a worker remembers; beyond that it starts anew.
 REMEMBERED = 800_000
 #: Rows that one salt of a length should have, about.
@@ -97,65 +102,91 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
     return arrow_map(kept, run, schema)
 
 
-def _price(values: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarray:
-    """Unbounded knapsack by dynamic programming: how often to take each length for the greatest value."""
+def _price(values: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Knapsack by dynamic programming: the greatest value of each room, and the item to take first there (-1: leave one unit)."""
     best = np.zeros(capacity + 1)
     took = np.full(capacity + 1, -1, np.int64)
-    order = np.argsort(-values / lengths, kind="stable")
-    lengths_o, values_o = lengths[order], values[order]
     for room in range(1, capacity + 1):
-        fits = lengths_o <= room
-        if not fits.any():
-            continue
-        score = np.where(fits, best[np.maximum(room - lengths_o, 0)] + values_o, -1.0)
-        i = int(np.argmax(score))
-        if score[i] > best[room - 1]:
-            best[room], took[room] = score[i], order[i]
-        else:
-            best[room] = best[room - 1]
-    take = np.zeros(len(lengths), np.int64)
-    room = capacity
+        n = int(np.searchsorted(lengths, room, "right"))
+        best[room] = best[room - 1]
+        if n:
+            score = best[room - lengths[:n]] + values[:n]
+            i = int(score.argmax())
+            if score[i] > best[room]:
+                best[room], took[room] = score[i], i
+    return best, took
+
+
+def _filled(first: int, lengths: np.ndarray, took: np.ndarray, capacity: int) -> dict[int, int]:
+    """The best configuration (index of length -> how often) that holds ``first``."""
+    config, room = {first: 1}, capacity - int(lengths[first])
     while room > 0:
-        if took[room] < 0 or best[room] == best[room - 1]:
+        i = int(took[room])
+        if i < 0:
             room -= 1
             continue
-        take[took[room]] += 1
-        room -= int(lengths[took[room]])
-    return take
+        config[i] = config.get(i, 0) + 1
+        room -= int(lengths[i])
+    return config
+
+
+def solve(lengths: np.ndarray, need: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[dict[tuple, float], float, float]:
+    """Uses of configurations (tuples of (index, how often)) that cover need, how many those are in all, and a lower bound of
+    any solution's number: the fractional configuration program by multiplicative weights."""
+    covered, weight, uses, bound, primal = np.zeros(len(lengths)), np.ones(len(lengths)), {}, 0.0, float("inf")
+    for turn in range(1, rounds + 1):
+        values = lengths * weight
+        best, took = _price(values, lengths, capacity)
+        bound = max(bound, float(values @ need) / best[capacity])
+        near = np.flatnonzero(values + best[capacity - lengths] >= (1 - 2 * GAP) * best[capacity])
+        fresh = np.ones(len(lengths), bool)
+        for i in near[np.argsort(covered[near], kind="stable")].tolist():  # one configuration for each length not yet in one, those least covered first
+            if fresh[i]:
+                config = _filled(i, lengths, took, capacity)
+                often = need[i] / config[i]  # as often as this length needs
+                key = tuple(sorted(config.items()))
+                uses[key] = uses.get(key, 0.0) + often
+                for j, n in config.items():
+                    covered[j] += often * n / need[j]
+                    fresh[j] = False
+        least = covered.min()
+        if least > 0:
+            primal = sum(uses.values()) / least
+            if primal <= (1 + GAP) * bound:
+                break
+        weight *= np.exp(-0.1 * (covered - covered.mean()) / max(covered.mean(), 1e-9))
+    scale = bound / sum(uses.values())
+    return {k: v * scale for k, v in uses.items()}, primal, bound
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
-    """Configurations (length -> how often) with how many sequences use each; together they hold the histogram exactly."""
-    lengths = np.array(sorted(k for k, v in histogram.items() if v > 0), np.int64)
-    left = {int(k): int(histogram[int(k)]) for k in lengths}
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS, said: dict | None = None) -> list[tuple[dict[int, int], int]]:
+    """Configurations (length -> how often) with how many sequences use each; together they hold the histogram exactly.
+    said: gets the sequences that the program placed, and the primal and dual value of its first solution."""
+    left = {int(k): int(v) for k, v in sorted(histogram.items()) if v > 0}
     out: list[tuple[dict[int, int], int]] = []
-    if len(lengths):
-        need = np.array([left[int(k)] for k in lengths], float)
-        prices, used = np.ones(len(lengths)), {}
-        step = 0.1
-        covered = np.zeros(len(lengths))
-        for _ in range(rounds if need.sum() > 1 else 0):
-            take = _price(prices / need, lengths, capacity)
-            # as many of it as exhaust its scarcest length count as one step of full width
-            ratio = take / need
-            many = 1.0 / ratio.max()
-            used[take.tobytes()] = used.get(take.tobytes(), 0.0) + many
-            covered += ratio * many
-            prices *= np.exp(-step * ratio * many)
-            prices = np.maximum(prices / prices.max(), 1e-12)
-        if used:
-            scale = 1.0 / max(covered.min(), 1e-9)
-            for raw, many in sorted(used.items(), key=lambda x: (-x[1], x[0])):
-                take = np.frombuffer(raw, np.int64)
-                times = int(many * scale)
-                for i in np.flatnonzero(take):
-                    times = min(times, left[int(lengths[i])] // int(take[i]))
-                if times > 0 and take @ lengths >= 0.98 * capacity:
-                    config = {int(lengths[i]): int(take[i]) for i in np.flatnonzero(take)}
-                    for k, v in config.items():
-                        left[k] -= v * times
-                    out.append((config, times))
-    return out + _best_fit(left, capacity)
+    for _ in range(SOLUTIONS if rounds else 0):
+        lengths = np.array([k for k, v in left.items() if v], np.int64)
+        if not len(lengths):
+            break
+        have = np.array([left[int(k)] for k in lengths])
+        uses, primal, bound = solve(lengths, have.astype(float), capacity, rounds)
+        if said is not None:
+            said.setdefault("primal", primal), said.setdefault("dual", bound)
+        placed, total = 0, int(have @ lengths)
+        for config, use in sorted(uses.items(), key=lambda x: (-x[1], x[0])):
+            size = sum(int(lengths[i]) * n for i, n in config)
+            times = min([max(1, round(use)), *(int(have[i]) // n for i, n in config)])
+            if times and size >= FULL * capacity:
+                for i, n in config:
+                    have[i] -= n * times
+                out.append(({int(lengths[i]): n for i, n in config}, times))
+                placed += size * times
+        left = {int(k): int(v) for k, v in zip(lengths, have, strict=True)}
+        if placed < 0.1 * total:
+            break
+    if said is not None:
+        said["program"] = sum(n for _, n in out)
+    return out + _best_fit({k: v for k, v in left.items() if v}, capacity)
 
 
 def _best_fit(left: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -208,8 +239,8 @@ def assign(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS, or
     """pieces (with ``length``) and sequence_id, offset.  pieces is read three times: pass a stored table."""
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     slots = _slots(plan(histogram, capacity, rounds))
-    salts = max(8, -(-sum(histogram.values()) // PER_SALT))
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
+    salts = F.split(F.lit(",".join(str(-(-histogram.get(n, 1) // PER_SALT)) for n in range(capacity + 1))), ",").cast("array<int>")  # by length
+    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*order), F.get(salts, F.col("length").cast("int"))).cast("int"))
     sizes = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     before = sizes.select("length", "_salt", (F.sum("_n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("_n")).alias("_before"))
     ranked = salted.join(before, ["length", "_salt"]).withColumn(
