@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelith.functions.aggregates import mad
+from voxelith.operators.lineage import cut
 from voxelith.operators.neighbors import nearest, within
 
 EPS = 2.220446049250313e-16
@@ -45,7 +46,7 @@ def ranked(df: DataFrame, order: list[str], as_: str = "rn", parts: int = 64) ->
     """df with its row number from 0 in the given total order: sorted by ranges, counted per range, then offset, so no
     task sees all rows."""
     n = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    placed = df.repartitionByRange(max(int(n), 1), *order).withColumn("_p", F.spark_partition_id())
+    placed = cut(df.repartitionByRange(max(int(n), 1), *order).withColumn("_p", F.spark_partition_id()))  # planned once: ranges are drawn from a sample
     own = placed.withColumn(as_, F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1)
     sizes = placed.groupBy("_p").agg(F.count("*").alias("_n"))
     before = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))

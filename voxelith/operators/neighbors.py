@@ -51,21 +51,24 @@ def within(left: DataFrame, right: DataFrame, radius: float, key: str, xyz: tupl
     return left.select(F.col(key).alias("a")).join(n, "a", "left").select(F.col("a").alias(key), F.coalesce("n", F.lit(0)).cast("bigint").alias("neighbours"))
 
 
-def nearest(left: DataFrame, right: DataFrame, k: int, radius: float, key: str, xyz: tuple[str, str, str] = ("x", "y", "z"), extra: tuple[str, ...] = (), on: tuple[str, ...] = (), grow: int = 12) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, k: int, radius: float, key: str, xyz: tuple[str, str, str] = ("x", "y", "z"), extra: tuple[str, ...] = (), on: tuple[str, ...] = ()) -> DataFrame:
     """(a, b, d2, rank, extra): each left row's k nearest, ties to the smaller key.
 
-    The radius doubles, up to ``grow`` times, for rows that have fewer than k within it (all rows count when the right side
-    has fewer than k); rows that found theirs do not search again."""
+    The radius doubles for rows that have fewer than k within it, until it spans both sides, so rows of which fewer than k can
+    match get all of these; rows that found theirs do not search again."""
     rank = F.row_number().over(Window.partitionBy("a").orderBy("d2", "b"))
+    ends = left.select(*xyz).union(right.select(*xyz)).agg(*(f(n).cast("double").alias(f"{f.__name__}_{n}") for n in xyz for f in (F.min, F.max))).first()
+    span = sum(((ends[f"max_{n}"] or 0) - (ends[f"min_{n}"] or 0)) ** 2 for n in xyz) ** 0.5
     out, todo = None, left
     have = right.limit(k).count()
-    for _ in range(grow):
+    while True:
         found = cut(range_pairs(todo, right, radius, key, xyz, extra, on).withColumn("rank", rank).where(F.col("rank") <= k))
         done = found.groupBy("a").agg(F.count("*").alias("_n")).where(F.col("_n") >= min(k, have)).select("a")
-        full = found.join(done, "a")
-        out = full if out is None else out.union(full)
+        full = found if radius >= span else found.join(done, "a")
+        out = full if out is None else out.union(full.select(*out.columns))
+        if radius >= span:
+            return out
         todo = cut(todo.join(done.select(F.col("a").alias(key)), key, "left_anti"))
         if todo.isEmpty():
-            break
+            return out
         radius *= 2
-    return out

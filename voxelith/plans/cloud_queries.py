@@ -10,12 +10,16 @@ from voxelith.operators.neighbors import nearest, neighbour_counts, range_pairs,
 from voxelith.plans.queries import query
 
 XYZ = ("xi", "yi", "zi")
-SOME = ", few as (select * from points where okey % 40 = 0)"
 D2 = "(a.xi - b.xi) * (a.xi - b.xi) + (a.yi - b.yi) * (a.yi - b.yi) + (a.zi - b.zi) * (a.zi - b.zi)"
 
 
-def _some(v):
-    return v.points.where("okey % 40 = 0")
+def _near_sql(cell: int) -> str:
+    """far: every point under each of the 27 cells around its own."""
+    return f", far as (select pid, xi, yi, zi, xi // {cell} + i as cx, yi // {cell} + j as cy, zi // {cell} + k as cz from points, unnest([-1, 0, 1]) as p(i), unnest([-1, 0, 1]) as q(j), unnest([-1, 0, 1]) as r(k))"
+
+
+def _near_on(cell: int) -> str:
+    return f"a.xi // {cell} = b.cx and a.yi // {cell} = b.cy and a.zi // {cell} = b.cz"
 
 
 @query(", c as (select xi // 5 as cx, yi // 5 as cy, zi // 5 as cz, count(*) as own from points group by 1, 2, 3) select a.cx, a.cy, a.cz, a.own, cast(sum(b.own) as bigint) as around from c a join c b on abs(a.cx - b.cx) <= 1 and abs(a.cy - b.cy) <= 1 and abs(a.cz - b.cz) <= 1 group by 1, 2, 3, 4", "points")
@@ -23,55 +27,54 @@ def neighbourhood_counts(v):
     return neighbour_counts(v.points, 5, XYZ).toDF("cx", "cy", "cz", "own", "around")
 
 
-@query(", r as (select distinct xi // 3 as cx, yi // 3 as cy, zi // 3 as cz from points where okey % 300 = 0) select pid, case when exists (select 1 from r where abs(xi // 3 - cx) <= 1 and abs(yi // 3 - cy) <= 1 and abs(zi // 3 - cz) <= 1) then 1 else 0 end as observed from points where okey % 7 = 0", "points")
+@query(_near_sql(3) + ", r as (select distinct cx, cy, cz from far join points using (pid) where view_id = 1) select pid, case when r.cx is null then 0 else 1 end as observed from points a left join r on a.xi // 3 = r.cx and a.yi // 3 = r.cy and a.zi // 3 = r.cz", "points")
 def provenance(v):
-    return tag_near(v.points.where("okey % 7 = 0"), v.points.where("okey % 300 = 0"), 3, xyz=XYZ).select("pid", "observed")
+    return tag_near(v.points, v.points.where("view_id = 1"), 3, xyz=XYZ).select("pid", "observed")
 
 
-@query(SOME + f" select a.pid, count(*) as neighbours from few a join few b on {D2} <= 100 group by a.pid having count(*) >= 3", "points")
+@query(_near_sql(3) + f" select a.pid, count(*) as neighbours from points a join far b on {_near_on(3)} where {D2} <= 9 group by a.pid having count(*) >= 3", "points")
 def density(v):
     from voxelith.operators.neighbors import within
 
-    return within(_some(v), _some(v), 10, "pid", XYZ).where("neighbours >= 3")
+    return within(v.points, v.points, 3, "pid", XYZ).where("neighbours >= 3").distinct()  # a line may be listed twice
 
 
-@query(SOME + f", keep as (select a.pid from few a join few b on {D2} <= 36 group by a.pid having count(*) >= 3) select pid from few where (select count(*) from keep) < 0.5 * (select count(*) from few) or pid in (select pid from keep)", "points")
+@query(_near_sql(2) + f", keep as (select a.pid from points a join far b on {_near_on(2)} where {D2} <= 4 group by a.pid having count(*) >= 3) select pid from points where (select count(*) from keep) < 0.5 * (select count(*) from points) or pid in (select pid from keep)", "points")
 def density_or_abandon(v):
-    p = _some(v)
-    return unless_abandoned(p, density_filter(p, 6, "pid", 3, XYZ), "pid").select("pid")
+    return unless_abandoned(v.points, density_filter(v.points, 2, "pid", 3, XYZ), "pid").select("pid")
 
 
-KNN = SOME + f", d as (select a.pid as a, b.pid as b, {D2} as d2, row_number() over (partition by a.pid order by {D2}, b.pid) as rank from few a, few b), means as (select a as pid, sum(sqrt(d2)) / count(*) as mean_d from d where rank <= 8 group by a)"
+KNN = f", d as (select a.pid as a, b.pid as b, {D2} as d2, row_number() over (partition by a.pid order by {D2}, b.pid) as rank from points a, points b), means as (select a as pid, sum(sqrt(d2)) / count(*) as mean_d from d where rank <= 8 group by a)"
 
 
-@query(KNN + " select pid, round(mean_d, 6) as mean_d from means", "points")
+@query(KNN + " select pid, round(mean_d, 6) as mean_d from means", "points", slow=True)
 def knn_mean_distance(v):
-    return mean_distance(_some(v), "pid", 8, 8, XYZ).select("pid", F.round("mean_d", 6).alias("mean_d"))
+    return mean_distance(v.points, "pid", 8, 3, XYZ).select("pid", F.round("mean_d", 6).alias("mean_d"))
 
 
-@query(KNN + ", m as (select median(mean_d) as med from means), k as (select median(abs(mean_d - med)) as mad from means, m) select pid from means, m, k where mean_d <= med + 2 * greatest(mad, 1e-15)", "points")
+@query(KNN + ", m as (select median(mean_d) as med from means), k as (select median(abs(mean_d - med)) as mad from means, m) select pid from means, m, k where mean_d <= med + 2 * greatest(mad, 1e-15)", "points", slow=True)
 def mad_outliers(v):
-    return outlier_filter(mean_distance(_some(v), "pid", 8, 8, XYZ), 2.0).select("pid")
+    return outlier_filter(mean_distance(v.points, "pid", 8, 3, XYZ), 2.0).select("pid")
 
 
-@query(SOME + f" select a.pid, exists (select 1 from points b where b.okey % 100 = 1 and {D2} <= 64) as near from few a", "points")
+@query(_near_sql(3) + f", hit as (select distinct a.pid from points a join far b on {_near_on(3)} join points o on o.pid = b.pid where o.view_id = 2 and {D2} <= 9) select a.pid, hit.pid is not null as near from points a left join hit on hit.pid = a.pid", "points")
 def nearest_within(v):
-    hit = range_pairs(_some(v), v.points.where("okey % 100 = 1"), 8, "pid", XYZ).select(F.col("a").alias("pid")).distinct().withColumn("near", F.lit(True))
-    return _some(v).select("pid").join(hit, "pid", "left").select("pid", F.coalesce("near", F.lit(False)).alias("near"))
+    hit = range_pairs(v.points, v.points.where("view_id = 2"), 3, "pid", XYZ).select(F.col("a").alias("pid")).distinct().withColumn("near", F.lit(True))
+    return v.points.select("pid").join(hit, "pid", "left").select("pid", F.coalesce("near", F.lit(False)).alias("near"))
 
 
-@query(SOME + f", d as (select a.pid as a, b.red, {D2} as d2, row_number() over (partition by a.pid order by {D2}, b.pid) as rank from few a, points b where b.okey % 50 = 3) select a as pid, round(sum(red / greatest(d2, 1e0)) / sum(1 / greatest(d2, 1e0)), 6) as red from d where rank <= 12 group by a", "points")
+@query(f", d as (select a.pid as a, b.red, {D2} as d2, row_number() over (partition by a.pid order by {D2}, b.pid) as rank from points a, points b where b.view_id = 3) select a as pid, round(sum(red / greatest(d2, 1e0)) / sum(1 / greatest(d2, 1e0)), 6) as red from d where rank <= 12 group by a", "points", slow=True)
 def inverse_distance_colour(v):
-    n = nearest(_some(v), v.points.where("okey % 50 = 3"), 12, 12, "pid", XYZ, ("red",))
+    n = nearest(v.points, v.points.where("view_id = 3"), 12, 6, "pid", XYZ, ("red",))
     w = 1 / F.greatest(F.col("d2"), F.lit(1.0))
     return n.groupBy("a").agg(F.round(F.sum(F.col("red") * w) / F.sum(w), 6).alias("red")).select(F.col("a").alias("pid"), "red")
 
 
-@query(SOME + f", k as (select *, case when ny > 0.7 then 'floor' when ny < -0.7 then 'ceiling' else 'wall' end as kind from points), d as (select a.pid as a, b.pid as b, row_number() over (partition by a.pid order by {D2}, b.pid) as rank from k a join k b on a.kind = b.kind where a.okey % 40 = 0 and b.okey % 50 = 3) select a as pid, b as donor from d where rank = 1", "points")
+@query(f", k as (select *, case when ny > 0.7 then 'floor' when ny < -0.7 then 'ceiling' else 'wall' end as kind from points), d as (select a.pid as a, b.pid as b, row_number() over (partition by a.pid order by {D2}, b.pid) as rank from k a join k b on a.kind = b.kind where b.view_id = 4) select a as pid, b as donor from d where rank = 1", "points", slow=True)
 def same_kind_nearest(v):
     kind = F.when(F.col("ny") > 0.7, "floor").when(F.col("ny") < -0.7, "ceiling").otherwise("wall")
     p = v.points.withColumn("kind", kind)
-    return nearest(p.where("okey % 40 = 0"), p.where("okey % 50 = 3"), 1, 12, "pid", XYZ, on=("kind",)).select(F.col("a").alias("pid"), F.col("b").alias("donor"))
+    return nearest(p, p.where("view_id = 4"), 1, 4, "pid", XYZ, on=("kind",)).select(F.col("a").alias("pid"), F.col("b").alias("donor"))
 
 
 @query(" select min(xi) as min_xi, max(xi) as max_xi, min(yi) as min_yi, max(yi) as max_yi, min(zi) as min_zi, max(zi) as max_zi, round(sqrt((max(xi) - min(xi)) ** 2 + (max(yi) - min(yi)) ** 2 + (max(zi) - min(zi)) ** 2), 6) as diagonal from points", "points")
@@ -79,14 +82,14 @@ def cloud_bounds(v):
     return bounds(v.points, XYZ).withColumn("diagonal", F.round("diagonal", 6))
 
 
-@query(", o as (select pid, row_number() over (order by xi, yi, zi, pid) - 1 as rn, count(*) over () as n from points) select pid from o where rn in (select distinct cast(floor(i * (n - 1) / 499e0) as bigint) from (select max(n) as n from o), unnest(range(0, 500)) as u(i))", "points")
+@query(", o as (select pid, row_number() over (order by xi, yi, zi, pid) - 1 as rn, count(*) over () as n from points) select pid, red, support from o join points using (pid) where rn in (select distinct cast(floor(i * (n - 1) / 499e0) as bigint) from (select max(n) as n from o), unnest(range(0, 500)) as u(i))", "points")
 def sampled_preview(v):
-    return preview_sample(v.points, 500, ["xi", "yi", "zi", "pid"]).select("pid")
+    return preview_sample(v.points, 500, ["xi", "yi", "zi", "pid"]).select("pid", "red", "support")
 
 
-@query(", o as (select pid, row_number() over (order by pid) - 1 as rn from points) select pid from o where rn % 37 = 0", "points")
+@query(", o as (select pid, row_number() over (order by pid) - 1 as rn, red, support from points) select pid, red, support from o where rn % 37 = 0", "points")
 def systematic_sample(v):
-    return every_kth(v.points, 37, ["pid"]).select("pid")
+    return every_kth(v.points, 37, ["pid"]).select("pid", "red", "support")
 
 
 @query(", h as (select cast(floor(zi / 3e0) as int) as bin, count(*) as n from points group by 1), c as (select *, sum(n) over (order by bin) as c, sum(n) over () as t from h) select arg_max(bin, {'n': n, 'b': -bin}) as bin, max(n) as n from c where 1 - c / cast(t as double) >= 0.3", "points")
@@ -94,11 +97,11 @@ def floor_peak(v):
     return histogram_peak(v.points, "zi", 3.0, 0.3)
 
 
-@query(", t as (select (a + 4) * 9 + b + 4 as tilt, a / 8e0 as tx, b / 8e0 as tz from unnest(range(-4, 5)) as p(a), unnest(range(-4, 5)) as q(b)), h as (select tilt, floor((yi + xi * tx + zi * tz) / 2) as bin, count(*) as n from few, t group by 1, 2), m as (select tilt, max(n) as n from h group by 1) select cast(arg_max(tilt, {'n': n, 't': -tilt}) as bigint) as tilt, max(n) as n from m".replace(", t as", SOME + ", t as", 1), "points")
+@query(", t as (select (a + 4) * 9 + b + 4 as tilt, a / 8e0 as tx, b / 8e0 as tz from unnest(range(-4, 5)) as p(a), unnest(range(-4, 5)) as q(b)), h as (select tilt, floor((yi + xi * tx + zi * tz) / 2) as bin, count(*) as n from points, t group by 1, 2), m as (select tilt, max(n) as n from h group by 1) select cast(arg_max(tilt, {'n': n, 't': -tilt}) as bigint) as tilt, max(n) as n from m", "points")
 def tilt_grid(v):
     s = v.spark
     t = s.range(81).select(F.col("id").alias("tilt"), ((F.floor(F.col("id") / 9) - 4) / 8.0).alias("tx"), ((F.col("id") % 9 - 4) / 8.0).alias("tz"))
-    p = _some(v).select(F.col("xi").alias("x"), F.col("yi").alias("y"), F.col("zi").alias("z"))
+    p = v.points.select(F.col("xi").alias("x"), F.col("yi").alias("y"), F.col("zi").alias("z"))
     return tilt_search(p, t, 2.0)
 
 

@@ -81,9 +81,9 @@ def anchor_sufficiency(v):
     return v.pixels.groupBy("frame").agg(F.count("*").alias("anchors"), F.count_if(F.col("grey") > 0).alias("valid")).where("anchors >= 20 and valid >= 0.05 * 768")
 
 
-@query(" select frame, v, u, dense as rank, donor from (select a.frame, a.v, a.u, b.frame as donor, row_number() over (partition by a.frame, a.v, a.u order by b.grey desc, b.frame) as dense from pixels a join pixels b on a.v = b.v and a.u = b.u and a.frame <> b.frame where a.frame % 5 = 0) where dense <= 10", "pixels")
+@query(" select frame, v, u, dense as rank, donor from (select a.frame, a.v, a.u, b.frame as donor, row_number() over (partition by a.frame, a.v, a.u order by b.grey desc, b.frame) as dense from pixels a join pixels b on a.v = b.v and a.u = b.u and a.frame <> b.frame) where dense <= 10", "pixels")
 def top_source_views(v):
-    a = v.pixels.where("frame % 5 = 0").select("frame", "v", "u")
+    a = v.pixels.select("frame", "v", "u")
     b = v.pixels.select(F.col("frame").alias("donor"), "v", "u", "grey")
     w = Window.partitionBy("frame", "v", "u").orderBy(F.desc("grey"), "donor")
     return a.join(b, ["v", "u"]).where("frame <> donor").withColumn("rank", F.row_number().over(w)).where("rank <= 10").select("frame", "v", "u", "rank", "donor")

@@ -10,16 +10,18 @@ from voxelith.plans.views import Views, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: SQL by brute force, too slow for large tables; tests hold the queries against it on the smallest.
+SLOW: dict[str, str] = {}
 
 
-def query(sql: str | None, *views: str):
-    """Register a function of Views under its own name, with its SQL over the named views."""
+def query(sql: str | None, *views: str, slow: bool = False):
+    """Register a function of Views under its own name, with its SQL over the named views; slow: for small tables only."""
 
     def wrap(f: Callable[[Views], DataFrame]):
         name = f.__name__.strip("_")
         QUERIES[name] = lambda spark, sf_dir: f(Views(spark, sf_dir))
         if sql is not None:
-            ORACLES[name] = (with_views(*views) + sql) if views else sql
+            (SLOW if slow else ORACLES)[name] = (with_views(*views) + sql) if views else sql
         return f
 
     return wrap

@@ -17,10 +17,10 @@ select ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppk
        l_linenumber as view_id, 1 - l_discount as confidence, cast(round(100 * (1 - l_discount)) as bigint) as weight, 1 + l_orderkey % 9 as support
 from lineitem""",
     "palette": """
-select cast(row_number() over (order by p_partkey) as int) as pos, p_partkey + 1 as palette_id,
-       concat('minecraft:', replace(p_name, ' ', '_'), '_', cast(p_partkey + 1 as varchar(20))) as block_state,
-       cast(p_partkey * 83 % 256 as int) as pr, cast(p_partkey * 151 % 256 as int) as pg, cast(p_partkey * 29 % 256 as int) as pb, p_size % 5 / 4e0 as penalty
-from part where p_partkey < 40""",
+select cast(row_number() over (order by p_size) as int) as pos, p_size + 1 as palette_id,
+       concat('minecraft:', replace(min(p_name), ' ', '_'), '_', cast(p_size + 1 as varchar(20))) as block_state,
+       cast(p_size * 83 % 256 as int) as pr, cast(p_size * 151 % 256 as int) as pg, cast(p_size * 29 % 256 as int) as pb, max(p_partkey) % 5 / 4e0 as penalty
+from part group by p_size""",
     "cameras": """
 select s_suppkey as cam, s_nationkey as rig, cast(s_suppkey * 7 % 41 as double) as x, cast(s_suppkey * 3 % 17 as double) as y, cast(s_suppkey * 13 % 29 as double) as z
 from supplier""",
@@ -39,7 +39,7 @@ select distinct cast(l_partkey % 61 - 30 as int) as x, cast(l_suppkey % 45 - 20
 from lineitem group by 1, 2, 3""",
     "cells": """
 select cast(l_partkey % 30 as int) as ix, cast(l_suppkey % 7 as int) as iy, cast(l_quantity as int) % 20 as iz, count(*) as n, cast(sum(l_orderkey % 5) as bigint) as s
-from lineitem where l_orderkey % 11 = 0 and (l_partkey + l_suppkey) % 3 = 0 group by 1, 2, 3""",
+from lineitem group by 1, 2, 3 having count(*) > (select count(*) / 4200e0 + 0.4e0 * sqrt(count(*) / 4200e0) from lineitem)""",
 }
 #: Tables and views each view reads.
 _TABLES = {"points": ["lineitem"], "palette": ["part"], "cameras": ["supplier"], "frames": ["events"], "pixels": ["events"], "metrics": ["events"], "pairs": ["lineitem"], "blocks": ["lineitem"], "cells": ["lineitem"]}

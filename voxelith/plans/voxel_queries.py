@@ -102,10 +102,10 @@ def transform_points(v):
     return v.points.select("pid", *(F.round(c, 6).alias(a) for c, a in zip(p, "xyz", strict=True)), *((c + 0.0).alias(a) for c, a in zip(n, ("nx", "ny", "nz"), strict=True)))
 
 
-@query(f", c as ({lab_sql('(select distinct red, green, blue from points)', 'red', 'green', 'blue', 'red, green, blue')}) select red, green, blue, round(lab_l, 6) as lab_l, round(lab_a, 6) as lab_a, round(lab_b, 6) as lab_b from c where red % 8 = 0", "points")
+@query(f", c as ({lab_sql('(select distinct red, green, blue from points)', 'red', 'green', 'blue', 'red, green, blue')}) select red, green, blue, round(lab_l, 6) as lab_l, round(lab_a, 6) as lab_a, round(lab_b, 6) as lab_b from c", "points")
 def color_lab(v):
     lab = lab_of_srgb8(*map(F.col, ("red", "green", "blue")))
-    return v.points.select("red", "green", "blue").distinct().where("red % 8 = 0").select("red", "green", "blue", *(F.round(c, 6).alias(f"lab_{n}") for c, n in zip(lab, "lab", strict=True)))
+    return v.points.select("red", "green", "blue").distinct().select("red", "green", "blue", *(F.round(c, 6).alias(f"lab_{n}") for c, n in zip(lab, "lab", strict=True)))
 
 
 @query(" select distinct red, red as back from points", "points")
@@ -145,9 +145,9 @@ def ray_carving(v):
 
 
 @query(GRID + """ select distinct pid, ix + a as ix, iy + b as iy, iz + c as iz from grid, unnest([-1, 0, 1]) as p(a), unnest([-1, 0, 1]) as q(b), unnest([-1, 0, 1]) as r(c)
- where okey % 10 = 0 and (a = 0 and b = 0 and c = 0 or (x / 0.5e0 - (ix + a + 0.5e0)) ** 2 + (y / 0.5e0 - (iy + b + 0.5e0)) ** 2 + (z / 0.5e0 - (iz + c + 0.5e0)) ** 2 <= 0.8e0 * 0.8e0 - 1e-3)""", "points")
+ where (a = 0 and b = 0 and c = 0 or (x / 0.5e0 - (ix + a + 0.5e0)) ** 2 + (y / 0.5e0 - (iy + b + 0.5e0)) ** 2 + (z / 0.5e0 - (iz + c + 0.5e0)) ** 2 <= 0.8e0 * 0.8e0 - 1e-3)""", "points")
 def splat_candidates(v):
-    return splat(_grid(v).where("okey % 10 = 0"), LOW, SIZE, (0.64 - 1e-3) ** 0.5, "pid")
+    return splat(_grid(v), LOW, SIZE, (0.64 - 1e-3) ** 0.5, "pid")
 
 
 @query(" select red % 16 as k, quantile_disc(blue, 0.5) as low, median(blue) as mid, quantile_cont(blue, 0.25) as q25 from points group by 1", "points")
@@ -155,9 +155,9 @@ def medians(v):
     return v.points.groupBy((F.col("red") % 16).alias("k")).agg(lower_median("blue").alias("low"), F.median("blue").alias("mid"), F.expr("percentile(blue, 0.25)").alias("q25"))
 
 
-@query(" select cast(turn as int) as turn, x, y, z, case turn when 0 then x when 1 then z when 2 then -x else -z end as rx, y as ry, case turn when 0 then z when 1 then -x when 2 then -z else x end as rz from (select distinct xi as x, yi as y, zi as z from points where okey < 200), unnest([0, 1, 2, 3]) as t(turn)", "points")
+@query(" select cast(turn as int) as turn, x, y, z, case turn when 0 then x when 1 then z when 2 then -x else -z end as rx, y as ry, case turn when 0 then z when 1 then -x when 2 then -z else x end as rz from (select distinct xi as x, yi as y, zi as z from points), unnest([0, 1, 2, 3]) as t(turn)", "points")
 def quarter_turn_points(v):
-    p = v.points.where("okey < 200").select(F.col("xi").alias("x"), F.col("yi").alias("y"), F.col("zi").alias("z")).distinct()
+    p = v.points.select(F.col("xi").alias("x"), F.col("yi").alias("y"), F.col("zi").alias("z")).distinct()
     out = None
     for t in range(4):
         m = quarter_turns(0, t, 0)
