@@ -3,10 +3,10 @@
 The page is stripped of comments, scripts, styles and other unseen elements, and of what names itself a menu, header,
 footer, sidebar, notice, advert, form or reader comment; each block of what stays is a line.  Stripped elements, links
 only, and the edges of an article leave WINDOW empty lines.  Text lengths are summed over sliding windows of WINDOW
-lines: the distribution surges where a window's sum leaves zero and dives where it returns there.  The text is that of
-all articles; on pages that mark none, the heaviest stretch between surge and dive names the main container, the innermost
-element around it, whose stretches are all taken, short ones too, with others of at least NEAR times its peak and what lies
-between them.  Lines of links only are kept between the first and last stretch if they lie in the container.
+lines: the distribution surges where a window's sum leaves zero and dives where it returns there.  The heaviest
+stretch between surge and dive decides: if most of it is marked as an article, the text is that of all articles; else it
+names the main container, the innermost element around it, whose stretches are all taken, short ones too, with others of at
+least NEAR times its peak and what lies between them.  Lines of links only are kept between the first and last stretch if they lie in the container.
 
 White space, no-break spaces too, becomes one space inside a block; blocks are joined by one line feed.  A null or
 empty page, or one without text, gives the empty string.  Markup may be unclosed, nested wrongly or cut off anywhere.
@@ -199,15 +199,17 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     lines = lines_of(page)
-    if any(art for _, art, _, _ in lines):
-        text = "\n".join(t for t, art, _, _ in lines if t and art)
-        if text:
-            return text
     sizes = [0 if only_links else len(text) for text, _, only_links, _ in lines]
     found = stretches(sizes)
+    marked = "\n".join(t for t, art, _, _ in lines if t and art)
     if not found:
-        return ""
+        return marked
     best = max(found, key=lambda s: (sum(sizes[s[0] : s[1]]), -s[0]))
+    weight = [0, 0]
+    for i in range(best[0], best[1]):
+        weight[lines[i][1] > 0] += sizes[i]
+    if weight[1] > weight[0]:
+        return marked
     paths = [lines[i][3] for i in range(best[0], best[1]) if sizes[i]]
     main = os.path.commonprefix(paths)
     inside = lambda i: lines[i][3][: len(main)] == main
