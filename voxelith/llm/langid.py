@@ -6,7 +6,7 @@ coordinate rates, elastic-net penalties L1 and L2) on a bounded sample of labell
 in all.  A fifth of the sample is set aside to fit the temperature that calibrates the scores.
 
 A text that is null or has no letter is ``und`` with score 0; so is every text if nothing is labelled.  Rows of null id are
-never trained on.  Repeated rows get equal predictions.  Languages beyond the MAX_CLASSES most frequent are not learned.
+never trained on.  Repeated rows get equal predictions.  Every language of the training rows is a class; only its sample is bounded.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from voxelith.llm.store import arrow_map
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 #: Bounds of the labelled sample that the classifier is fitted on.
-PER_CLASS, MAX_SAMPLE, MAX_CLASSES = 400, 8000, 200
+PER_CLASS, MAX_SAMPLE = 400, 8000
 #: FTRL: rate, smoothing, penalties, passes.
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.1, 3
 
@@ -137,18 +137,18 @@ class Model:
 def fit(train: DataFrame, key: str = "doc_id") -> Model:
     """From rows with text and lang; nulls in either are left out."""
     train = train.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col(key).isNotNull()).select(key, "text", "lang")
-    sizes = train.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_CLASSES).collect()
+    sizes = train.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row a language
     classes = sorted(r["lang"] for r in sizes)
     if not classes:
         return Model([], np.zeros((BUCKETS + 1, 0)), np.zeros(BUCKETS), 1.0)
     df, n = _document_frequency(train)
     idf = np.log((1 + n) / (1 + df)) + 1
-    per_class = min(PER_CLASS, MAX_SAMPLE // len(classes))
+    per_class = max(4, min(PER_CLASS, MAX_SAMPLE // len(classes)))
     draw = F.pmod(F.xxhash64(key), F.lit(1 << 30)) / float(1 << 30)
     rate = F.lit(0.0)
     for r in sizes:
         rate = F.when(F.col("lang") == r["lang"], F.lit(per_class / r["n"])).otherwise(rate)
-    drawn = train.where(draw < rate).orderBy(draw, key).limit(MAX_SAMPLE)
+    drawn = train.where(draw < rate).orderBy(draw, key).limit(max(MAX_SAMPLE, 8 * len(classes)))
     where = {c: i for i, c in enumerate(classes)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +175,7 @@ def held_out(key: Column) -> Column:
 
 def identify(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
     """Per row: key, held_out, lang_pred, score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # its size depends on BUCKETS and MAX_CLASSES only
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # its size depends on BUCKETS and the number of languages only
     kept = docs.select(key, held_out(F.col(key)).alias("held_out"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
