@@ -1,7 +1,30 @@
 import os
+import signal
 
 import pytest
 
+#: Seconds that one test may take.
+LIMIT = 600
+
+
+def pytest_collection_modifyitems(items):
+    """Core tests first, those of the training-data operators last."""
+    items.sort(key=lambda item: "/llm/" in str(item.fspath))
+
+
+@pytest.hookimpl(wrapper=True)
+def pytest_runtest_call(item):
+    def stop(*_):
+        raise TimeoutError(f"{item.name} took more than {LIMIT} s")
+
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.alarm(LIMIT)
+    try:
+        return (yield)
+    finally:
+        signal.alarm(0)
+        signal.signal(signal.SIGALRM, before)
+
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):

@@ -104,3 +104,25 @@ def test_stream_of_metrics_counts_each_attempt_once(spark, tmp_path):
     q.stop()
     assert spark.sql("select sum(attempts) n from stage_windows").first().n == rows.count()
     assert sorted(spark.sql("select * from stage_windows").collect()) == sorted(windowed_metrics(rows).collect())
+
+
+def test_rows_are_numbered_alike_however_many_columns_they_have(spark):
+    from voxelith.operators.cloud import every_kth, preview_sample
+
+    df = spark.range(20_000).selectExpr("id * 7919 % 20000 as k", "id % 13 as a", "cast(id as string) as b").repartition(16)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        assert sorted(r.k for r in every_kth(df, 37, ["k"]).collect()) == list(range(0, 20_000, 37))
+        assert preview_sample(df, 500, ["k"]).count() == 500
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_nearest_finds_far_rows_and_all_of_few(spark):
+    from voxelith.operators.neighbors import nearest
+
+    df = spark.createDataFrame([(i, float(x), 0.0, 0.0, g) for i, (x, g) in enumerate([(0, "a"), (1, "a"), (10**6, "a"), (3, "b")])], "id int, x double, y double, z double, g string")
+    got = {(r.a, r.b) for r in nearest(df, df, 2, 0.001, "id").collect()}
+    assert got == {(0, 0), (0, 1), (1, 1), (1, 0), (2, 2), (2, 3), (3, 3), (3, 1)}
+    assert {(r.a, r.b) for r in nearest(df, df, 2, 0.5, "id", on=("g",)).where("a = 3").collect()} == {(3, 3)}

@@ -33,6 +33,8 @@ def robust_affine(df: DataFrame, keys: list[str], x: str, y: str, rounds: int =
     """(keys, slope, intercept): least squares, refitted to the rows whose residual is under cut * 1.4826 * MAD.
 
     The MAD is that of the rows kept so far; the mask is over all rows.  A MAD of 0 keeps what lies on the line."""
+    from voxelith.operators.lineage import cut as materialised
+
     rows = df.withColumn("_keep", F.lit(True))
     fit = None
     for i in range(rounds):
@@ -42,5 +44,5 @@ def robust_affine(df: DataFrame, keys: list[str], x: str, y: str, rounds: int =
             break
         res = rows.join(fit, keys).withColumn("_r", F.abs(F.col(y) - (F.col("slope") * F.col(x) + F.col("intercept"))))
         med = res.where("_keep").groupBy(*keys).agg(F.median("_r").alias("_m"))
-        rows = res.join(med, keys).withColumn("_keep", F.col("_r") <= F.lit(cut * 1.4826) * F.col("_m") + 1e-9).select(*df.columns, "_keep")
+        rows = materialised(res.join(med, keys).withColumn("_keep", F.col("_r") <= F.lit(cut * 1.4826) * F.col("_m") + 1e-9).select(*df.columns, "_keep"))  # else each round would read the last one's inputs twice
     return fit

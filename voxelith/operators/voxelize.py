@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelith.functions.aggregates import lower_median, weighted_median
@@ -73,14 +73,19 @@ def drop_isolated(cells: DataFrame, strong: int | None = None) -> DataFrame:
 def match_palette(cells: DataFrame, palette: DataFrame, rgb: tuple[str, str, str] = ("med_r", "med_g", "med_b"), digits: int = 9) -> DataFrame:
     """cells with palette_id and block_state of the least Lab distance plus penalty; ties go to the palette's first.
 
-    Distinct colours are scored once.  The palette is a dimension of a few hundred rows at most and is broadcast."""
-    colours = cells.select(*rgb).distinct()
-    left = with_lab(colours, rgb, ("lab_l", "lab_a", "lab_b"))
-    right = with_lab(palette, ("pr", "pg", "pb"), ("pal_l", "pal_a", "pal_b"))
-    d = sum(((F.col(f"lab_{c}") - F.col(f"pal_{c}")) * (F.col(f"lab_{c}") - F.col(f"pal_{c}")) for c in "lab"), F.lit(0.0))
-    scored = left.crossJoin(F.broadcast(right)).withColumn("_s", F.round(F.sqrt(d) + F.col("penalty"), digits))
-    best = scored.groupBy(*rgb).agg(F.min_by(F.struct("palette_id", "block_state"), F.struct("_s", "pos")).alias("m"))
-    return cells.join(best, list(rgb)).select(*cells.columns, "m.palette_id", "m.block_state")
+    The palette is a dimension of a few hundred rows at most: one row holds it as an array, and each cell scores it in one
+    projection.  Cells without a colour are left out."""
+    own, lab = ("_lab_l", "_lab_a", "_lab_b"), ("l", "a", "b")
+    entries = with_lab(palette, ("pr", "pg", "pb"), lab).select(F.struct("pos", *lab, "penalty", "palette_id", "block_state").alias("e"))
+    whole = entries.agg(F.collect_list("e").alias("_palette"))
+
+    def scored(e: Column) -> Column:
+        d = sum(((F.col(o) - e[n]) * (F.col(o) - e[n]) for o, n in zip(own, lab, strict=True)), F.lit(0.0))
+        return F.struct(F.round(F.sqrt(d) + e["penalty"], digits), e["pos"], e["palette_id"].alias("palette_id"), e["block_state"].alias("block_state"))
+
+    coloured = with_lab(cells.where(F.col(rgb[0]).isNotNull() & F.col(rgb[1]).isNotNull() & F.col(rgb[2]).isNotNull()), rgb, own)
+    best = coloured.crossJoin(F.broadcast(whole)).withColumn("_m", F.array_min(F.transform("_palette", scored)))  # one row on the right
+    return best.select(*cells.columns, "_m.palette_id", "_m.block_state")
 
 
 def ray_cells(rays: DataFrame, size: float, key: str = "ray") -> DataFrame:
