@@ -5,9 +5,9 @@ from tests.llm.helpers import ODD, WORD, documents, frame, wide
 from voxelith.llm.linededup import dedup_lines
 
 
-def brute(rows, percent=80, min_words=5):
+def brute(rows, percent=80):
     lines = [((i, n), frozenset(WORD.findall(t))) for i, x in rows if i is not None and x is not None for n, t in enumerate(x.split("\n"))]
-    lines = sorted((p, s) for p, s in lines if len(s) >= min_words)
+    lines = sorted((p, s) for p, s in lines if s)
     by, gone, seen = {}, set(), []
     for at, s in lines:
         near = {j for w in s for j in by.get(w, ())}

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelith.llm.store import drop, stored
+from voxelith.llm.store import drop, stored, stored_bytes
 
-#: Keys that may be broadcast (a few tens of MB); larger sets are shuffled.
-BROADCAST_ROWS = 500_000
+#: Rows and stored bytes (compressed) that may be broadcast, a few tens of MB in memory; larger tables are shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 300_000, 6 << 20
 
 
 def sized(small: DataFrame) -> DataFrame:
-    """small with a broadcast hint if it is counted and found small enough; pass a stored table."""
-    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
+    """small, a stored table, with a broadcast hint if its rows and bytes are few enough."""
+    few = small.count() <= BROADCAST_ROWS and stored_bytes(small) <= BROADCAST_BYTES
+    return F.broadcast(small) if few else small
 
 
 def components(edges: DataFrame) -> DataFrame:

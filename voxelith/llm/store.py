@@ -27,13 +27,23 @@ def stored(df: DataFrame) -> DataFrame:
     """df, written to the shared folder and read again: later reads survive lost executors and do not recompute."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     _written.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
 
 
+def stored_bytes(df: DataFrame) -> int:
+    """Size of a stored table's files; more than any limit for another."""
+    path = getattr(df, "_stored_at", None)
+    if not path:
+        return 1 << 62
+    jvm = df.sparkSession._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+
+
 #: Bytes and rows of a batch that Python workers get; batches of texts are copied a few times there.
 BATCH_BYTES, BATCH_ROWS = 8 << 20, 2000
 
