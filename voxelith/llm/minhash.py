@@ -6,16 +6,18 @@ union's sketch is the register-wise maximum (``merge``), and two registers agree
 
 1. Each document's set of k-word shingles (the whole sequence, if it has fewer words; nothing without words) and its
    sketch are computed once.  Documents with equal sets are one class, represented by its smallest id.
-2. Bands of R registers are hashed.  In each band, representatives are paired with the band's smallest and largest only.
+2. Bands of R registers are hashed.  A band's members are paired with its smallest and its largest representative only, and
+   of these pairs one a representative is tried in a round: that of most common bands whose ends are not yet connected.
 3. The joint likelihood of (K_a > K_b, K_a < K_b, equal), given the set sizes, estimates the similarity; pairs far
    below the threshold are dropped (MARGIN is over seven standard deviations), the others are verified on full sets.
-4. Components of the verified links.  Where a band still holds several components, STARS further rounds try its members
-   against the smallest id outside the component of the band's pivot.
-5. What is left is decided by differences from the pivot p: with D_X = X xor p, |A xor B| = |D_A| + |D_B| - 2 |D_A and D_B|,
-   so of a link across components, where A is not linked to p, D_A and D_B share at least t elements, t following from
-   B's and p's sizes.  Any |D_B| - t + 1 elements of D_B then hold one of D_A's.  Those that p lacks are
-   taken first, as copies of one document rarely share them, so an equality join on (p, element) finds every
-   such pair without trying all pairs of a group of copies.  Pairs found are verified on full sets; components again.
+4. Components of the verified links.  Where a band still holds several components, further rounds try its members against
+   the smallest representative outside the component of the band's smallest, the pivot, again one pair each.
+5. What is left is decided by differences from the pivot p: with D_X = X xor p, |A xor B| = |D_A| + |D_B| - 2 |D_A and D_B|.
+   Two sets linked to p are in its component, so let A be not linked to p; then D_A and D_B share at least t elements, t
+   following from B's and p's sizes, so any |D_B| - t + 1 elements of D_B hold one of D_A's.  Elements that p lacks come
+   first in the order of D_B, as copies of one document rarely share them.  A join on (p, element) with the positional filter
+   (what comes before the first common element is not shared) finds every such pair without trying all pairs of a
+   group of copies.  Pairs found are verified on full sets; components again.
 
 With 32 bands of 4, a link at the threshold of 0.85 is missed with probability 1e-10, at 0.8 with 2e-8.
 Elements are 64-bit hashes of words, so sets are full but for collisions (below 1e-12 a pair).
@@ -32,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from voxelith.llm.graph import components, sized
 from voxelith.llm.store import arrow_map, drop, stored
@@ -40,8 +43,8 @@ from voxelith.llm.textbatch import chunks, mix, shingle_hashes, span_hashes, wor
 M, R = 128, 4
 BASE, RATE, TOP = 1.02, 20.0, 4096
 MARGIN = 0.3
-#: Further rounds against one member of each band.
-STARS = 2
+#: Rounds against the bands' ends, and further rounds against one member of each band that holds several components.
+ENDS, STARS = 1, 1
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -170,9 +173,10 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent
     return out
 
 
-def differences(data: np.ndarray, pivot: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Of a sorted set and its pivot: the difference's elements (those that the pivot lacks first), the part of them that
-    must hold an element of the difference of any set linked to it but not to the pivot, and whether it is linked itself."""
+def differences(data: np.ndarray, pivot: np.ndarray, percent: int) -> tuple[np.ndarray, int, bool]:
+    """Of a sorted set and its pivot: the difference's elements in order (those that the pivot lacks first, then by value), how
+    many of the first must hold an element of the difference of any set that is linked to it but not to the pivot, and
+    whether it is linked to the pivot itself."""
     spot = np.minimum(np.searchsorted(pivot, data), len(pivot) - 1)
     both = pivot[spot] == data
     d = np.concatenate([data[~both], np.setdiff1d(pivot, data, assume_unique=True)])
@@ -180,11 +184,11 @@ def differences(data: np.ndarray, pivot: np.ndarray, percent: int) -> tuple[np.n
     linked = 100 * shared >= percent * (len(data) + len(pivot) - shared)
     n, m, q = len(data), len(d), 100 + percent
     t = max(1, (m * q + (100 - percent) * (len(pivot) - n)) // (2 * q) + 1)  # |D_A| exceeds (100 - percent) / q of |A| + |p|
-    return d, d[: max(0, m - t + 1)], linked
+    return d, max(0, m - t + 1), linked
 
 
-def across_components(shared: DataFrame, label: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Stored pairs (a, b) of different components that share a band and may be linked (step 5)."""
+def across_components(shared: DataFrame, label: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Stored links (a, b) with pivots, and stored pairs (a, b) of different components that share a band and may be linked (step 5)."""
     member = stored(shared.join(label, "id", "left").select("key", "id", "lo", F.coalesce("component", "id").alias("component")))
     mixed = stored(member.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("key"))
     pairs = stored(member.join(mixed, "key").select(F.col("lo").alias("p"), F.col("id").alias("x"), "component").where("p <> x").distinct())
@@ -193,27 +197,58 @@ def across_components(shared: DataFrame, label: DataFrame, docs: DataFrame, k: i
     of = lambda c: sets.select(F.col("id").alias(c), F.col("elems").alias(f"e{c}"))
     kind = pairs.schema["x"].dataType.simpleString()
 
+    def emitted(t: pa.RecordBatch) -> pa.RecordBatch:
+        rows, linked, first, elems, place, many, size = [], [], [], [], [], [], []
+        for i, (x, y) in enumerate(zip(t.column(3), t.column(4), strict=True)):
+            own = np.frombuffer(x.as_buffer(), "<u8")
+            d, head, ok = differences(own, np.frombuffer(y.as_buffer(), "<u8"), percent)
+            n = min(len(d), max(1, head)) if ok else len(d)
+            rows.append(np.full(n, i, np.int32)), linked.append(np.full(n, ok)), first.append(np.arange(n) < head), elems.append(d[:n])
+            place.append(np.arange(n, dtype=np.int32)), many.append(np.full(n, len(d), np.int32)), size.append(np.full(n, len(own), np.int32))
+        at = pa.array(np.concatenate(rows))
+        told = (pa.array(np.concatenate(v)) for v in (linked, first))
+        return pa.RecordBatch.from_arrays(
+            [*(t.column(c).take(at) for c in range(3)), *told, pa.array(np.concatenate(elems).astype(np.uint64).view(np.int64)), *(pa.array(np.concatenate(v)) for v in (place, many, size))],
+            ["p", "x", "component", "linked", "first", "e", "place", "many", "size"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            rows, role, elems = [], [], []
-            for i, (x, y) in enumerate(zip(t.column(3), t.column(4), strict=True)):
-                d, part, linked = differences(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8"), percent)
-                for r, e in ((0, d if not linked else d[:0]), (1, part)):
-                    rows.append(np.full(len(e), i)), role.append(np.full(len(e), r)), elems.append(e)
-            if rows:
-                at = pa.array(np.concatenate(rows))
-                yield pa.RecordBatch.from_arrays(
-                    [*(t.column(c).take(at) for c in range(3)), pa.array(np.concatenate(role).astype(np.int32)), pa.array(np.concatenate(elems).astype(np.uint64).view(np.int64))],
-                    ["p", "x", "component", "role", "e"],
-                )
+            for at in range(0, t.num_rows, 64):  # few at a time, as differences may be as long as the sets
+                yield emitted(t.slice(at, 64))
 
     both = pairs.join(of("x"), "x").join(of("p"), "p").select("p", "x", "component", "ex", "ep")
-    rows = stored(arrow_map(both, run, f"p {kind}, x {kind}, component {kind}, role int, e bigint"))
-    left = rows.where("role = 0").select("p", "e", F.col("x").alias("a"), F.col("component").alias("ca"))
-    right = rows.where("role = 1").select("p", "e", F.col("x").alias("b"), F.col("component").alias("cb"))
-    found = left.join(right, ["p", "e"]).where("ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    out = stored(found)
+    fields = f"p {kind}, x {kind}, component {kind}, linked boolean, first boolean, e bigint, place int, many int, size int"
+    rows = stored(arrow_map(both, run, fields))
+    links = stored(rows.where("linked and place = 0").select(F.least("p", "x").alias("a"), F.greatest("p", "x").alias("b")).distinct())
+    side = lambda x: ["p", "e", *(F.col(c).alias(f"{c}{x}") for c in ("x", "component", "place", "many", "size"))]
+    left, right = rows.where("not linked").select(*side("a")), rows.where("first").select(*side("b"))
+    shared_at_most = F.least(F.col("manya") - F.col("placea"), F.col("manyb") - F.col("placeb"))
+    close = (100 + percent) * (F.col("manya") + F.col("manyb") - 2 * shared_at_most) <= (100 - percent) * (F.col("sizea") + F.col("sizeb"))
+    alike = 100 * F.least("sizea", "sizeb") >= percent * F.greatest("sizea", "sizeb")
+    found = left.join(right, ["p", "e"]).where("componenta <> componentb").where(close & alike)
+    out = stored(found.select(F.least("xa", "xb").alias("a"), F.greatest("xa", "xb").alias("b")).distinct())
     drop(member), drop(mixed), drop(pairs), drop(ids), drop(sets), drop(rows)
+    return links, out
+
+
+def _best(pairs: DataFrame, label: DataFrame, tested: DataFrame) -> DataFrame:
+    """Stored pairs (a, b), one a representative x at most, of pairs (x, p, n): that of greatest n, then least p, whose ends are
+    in different components and that is not in tested."""
+    of = lambda c: label.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
+    apart = pairs.join(of("x"), "x", "left").join(of("p"), "p", "left").where(F.coalesce("cx", "x") != F.coalesce("cp", "p"))
+    apart = apart.select("x", "n", "p", F.least("x", "p").alias("a"), F.greatest("x", "p").alias("b")).join(tested, ["a", "b"], "left_anti")
+    best = apart.groupBy("x").agg(F.min(F.struct(-F.col("n"), "p")).alias("m")).select("x", "m.p")
+    return stored(best.select(F.least("x", "p").alias("a"), F.greatest("x", "p").alias("b")).distinct())
+
+
+def _second(shared: DataFrame, label: DataFrame) -> DataFrame:
+    """Stored (x, p, n): members of bands that hold several components, with the smallest outside the component of the band's smallest."""
+    member = shared.join(label, "id", "left").select("key", "id", "lo", F.coalesce("component", "id").alias("c"))
+    member = stored(member.join(label.select(F.col("id").alias("lo"), F.col("component").alias("cl")), "lo", "left").select("key", "id", "c", F.coalesce("cl", "lo").alias("cl")))
+    second = stored(member.where("c <> cl").groupBy("key").agg(F.min(F.struct("id", "c")).alias("s")).select("key", "s.id", "s.c").toDF("key", "p", "cp"))
+    out = stored(member.join(second, "key").where("c <> cp and id <> p").groupBy(F.col("id").alias("x"), "p").agg(F.count("*").alias("n")))
+    drop(member), drop(second)
     return out
 
 
@@ -228,26 +263,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, id_col: str
     )
     pivots = stored(bands.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi"))
     shared = stored(bands.join(pivots, "key"))
-    star = stored(
-        shared.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("id").alias("b")), F.struct(F.col("id").alias("a"), F.col("hi").alias("b")))).alias("p"))
-        .select("p.*").where("a < b").distinct()
-    )
-    links = verified(star, reps, docs, k, percent, id_col, text_col)
+    ends = F.explode(F.array("lo", "hi")).alias("p")
+    star = stored(shared.select(F.col("id").alias("x"), ends).where("x <> p").groupBy("x", "p").agg(F.count("*").alias("n")))
+    kind = reps.schema["id"].dataType
+    spark = docs.sparkSession
+    none = spark.createDataFrame([], StructType([StructField("a", kind), StructField("b", kind)]))
+    links, tested, label = none, none, components(none)
+    for turn in range(ENDS + STARS):
+        pairs = _best(star if turn < ENDS else _second(shared, label), label, tested)
+        if pairs.limit(1).count():
+            links = stored(links.union(verified(pairs, reps, docs, k, percent, id_col, text_col)))
+            tested = stored(tested.union(pairs))
+            label = components(links)
+    more, across = across_components(shared, label, docs, k, percent, id_col, text_col)
+    links = stored(links.union(more).union(verified(stored(across.join(tested, ["a", "b"], "left_anti")), reps, docs, k, percent, id_col, text_col)))
     label = components(links)
-    for _ in range(STARS):
-        member = shared.join(label, "id", "left").select("key", "id", "lo", F.coalesce("component", "id").alias("c"))
-        member = stored(member.join(label.select(F.col("id").alias("lo"), F.col("component").alias("cl")), "lo", "left").select("key", "id", "c", F.coalesce("cl", "lo").alias("cl")))
-        second = stored(member.where("c <> cl").groupBy("key").agg(F.min(F.struct("id", "c")).alias("s")).select("key", "s.id", "s.c").toDF("key", "p", "cp"))
-        more = member.join(second, "key").where("c <> cp and id <> p").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
-        more = stored(more.join(star, ["a", "b"], "left_anti"))
-        if not more.limit(1).count():
-            break
-        links = stored(links.union(verified(more, reps, docs, k, percent, id_col, text_col)))
-        star = stored(star.union(more))
-        label = components(links)
-    across = stored(across_components(shared, label, docs, k, percent, id_col, text_col).join(star, ["a", "b"], "left_anti"))
-    if across.limit(1).count():
-        label = components(links.union(verified(across, reps, docs, k, percent, id_col, text_col)))
     named = reps.select("s1", "s2", F.col("id").alias("rep")).join(label, F.col("rep") == label["id"], "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id"))
     named = stored(named)
     whole = here.join(named, ["s1", "s2"]).select("id", "n", "component_id")
