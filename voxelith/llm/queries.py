@@ -81,6 +81,25 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(_read(spark, sf_dir, "pages"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxelith.llm.fillmiddle import fill_in_middle
+
+    return fill_in_middle(_read(spark, sf_dir, "documents")).drop("output")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxelith.llm.prefixtrie import rebuilt, trie
+
+    return trie(rebuilt(_read(spark, sf_dir, "conversations")))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxelith.llm.toxicity import fit, held_out, score
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return score(docs, fit(docs.where(~held_out(F.col("doc_id"))), _read(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_byte_bpe": op2_byte_bpe,
@@ -92,6 +111,9 @@ QUERIES = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_line_dedup": op9_line_dedup,
     "op10_html_text": op10_html_text,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_toxicity": op13_toxicity,
 }
 
 #: DuckDB SQL by query; the others are tested against brute force.
@@ -166,5 +188,47 @@ marked as (select l.doc_id, l.line, t, gone.a is not null as removed from l left
 select d.doc_id, case when d.text is not null then coalesce(m.text, '') end as text, case when d.text is null then 0 else m.n_lines end as n_lines, m.n_removed_lines
 from documents d join (
   select doc_id, string_agg(t, chr(10) order by line) filter (not removed) as text, count(*) as n_lines, count(*) filter (removed) as n_removed_lines from marked group by 1) m using (doc_id)
+""",
+    "op11_fill_in_middle": r"""
+with d as (
+  select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as w, sha256('1:' || coalesce(doc_id::varchar, '')) as h from documents),
+k as (
+  select doc_id, t, w, len(w) as n, ('0x' || h[1:8])::bigint as h1, ('0x' || h[9:16])::bigint as h2, ('0x' || h[17:24])::bigint as h3, ('0x' || h[25:32])::bigint as h4 from d),
+c as (
+  select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+         case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form from k),
+p as (
+  select *, array_to_string(w[1:a], '') as prefix, array_to_string(w[a + 1:b], '') as middle, array_to_string(w[b + 1:n], '') as suffix from c)
+select doc_id, n::bigint as n, form, case when form <> 'plain' then length(prefix)::bigint end as prefix_chars, case when form <> 'plain' then length(middle)::bigint end as middle_chars,
+       sha256(case form when 'plain' then t when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+       sha256(t) as restored_sha256
+from p
+""",
+    "op12_prefix_trie": r"""
+with t as (
+  select conv_id, row_number() over (partition by conv_id order by turn nulls first, sha256(length(coalesce(role, ''))::varchar || ':' || coalesce(role, '') || coalesce(text, ''))) as i,
+         {'role': coalesce(role, ''), 'text': coalesce(text, '')} as t
+  from conversations where conv_id is not null),
+c as (
+  select conv_id, conv_id - conv_id % 20 as base,
+         xor(4294967295, list_reduce(list_transform(string_split(conv_id::varchar, ''), lambda x: ord(x)::bigint),
+                                     lambda a, x: list_reduce(range(8), lambda v, j: xor(v >> 1, 3988292384 * (v & 1)), xor(a, x)), 4294967295::bigint)) % 4 as h
+  from (select distinct conv_id from t)),
+turns as (
+  select c.conv_id, t.i, t.t from c join t on t.conv_id = c.base and t.i <= c.h
+  union all select c.conv_id, t.i + 3, t.t from c join t on t.conv_id = c.conv_id and t.i > c.h),
+seqs as (select c.conv_id, coalesce(list(turns.t order by turns.i) filter (turns.i is not null), []) as s from c left join turns using (conv_id) group by 1),
+nodes as (
+  select s[1:d] as node, d as depth, min(conv_id) as conv_id, count(*) as n_convs,
+         sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (len(s) = d), '')) as ends_sha256
+  from seqs, unnest(range(0, len(s) + 1)) as u(d) group by 1, 2),
+kids as (select node[1:depth - 1] as node, count(*) as n_children from nodes where depth > 0 group by 1),
+own as (
+  select n.*, n_children is null as leaf,
+         case when depth = 0 then 0 else (n_convs - 1) * len(regexp_extract_all(n.node[depth].text, '[^\x20\x09-\x0D]+')) end as saved, coalesce(n_children, 0) as n_children_
+  from nodes n left join kids using (node)),
+trees as (select node[1:k] as node, count(*) filter (leaf) as n_leaves, sum(saved)::bigint as saved_tokens from own, unnest(range(0, depth + 1)) as u(k) group by 1)
+select o.conv_id, o.depth::bigint as depth, p.conv_id as parent_conv_id, o.n_convs::bigint as n_convs, o.n_children_::bigint as n_children, n_leaves::bigint as n_leaves, saved_tokens, o.ends_sha256
+from own o join trees using (node) left join nodes p on o.depth > 0 and p.node = o.node[1:o.depth - 1]
 """,
 }
