@@ -111,3 +111,48 @@ def foreign_keys(v):
 @query(" select min(x) as min_x, max(x) as max_x, min(y) as min_y, max(y) as max_y, min(z) as min_z, max(z) as max_z, max(x) - min(x) + 1 <= 2048 as fits, count(*) > 10000 as warn from blocks", "blocks")
 def size_limits(v):
     return v.blocks.agg(*(f(n).alias(f"{k}_{n}") for n in "xyz" for k, f in (("min", F.min), ("max", F.max))), (F.max("x") - F.min("x") + 1 <= 2048).alias("fits"), (F.count("*") > 10000).alias("warn"))
+
+
+_PLACED = """, place as (select -min(x) as sx, 65 - min(y) as sy, -min(z) as sz, max(x) - min(x) as mx, max(z) - min(z) as mz from blocks),
+ world as (select x + sx as x, y + sy as y, z + sz as z, state from blocks, place
+   union all select a - 8 as x, 64 as y, b - 8 as z, 'minecraft:smooth_stone' as state from place, unnest(range(0, mx + 17)) as p(a), unnest(range(0, mz + 17)) as q(b))"""
+
+
+def _exported(v):
+    from voxelith.operators.export import export_world
+    from voxelith.sources.files import new_folder
+
+    return export_world(v.blocks, new_folder(v.spark, "world"))
+
+
+@query(_PLACED + " select cast(x as int) as x, cast(y as int) as y, cast(z as int) as z, state, cast(x >> 4 as int) as cx, cast(z >> 4 as int) as cz from world", "blocks")
+def world_export_and_read_back(v):
+    """Blocks written as a save, and all of them read from its region files."""
+    from voxelith.operators.export import read_blocks
+
+    return read_blocks(v.spark, _exported(v).folder)
+
+
+@query(_PLACED + " select cast(x as int) as x, cast(z as int) as z, cast(max(y) + 65 as int) as height from world group by 1, 2", "blocks")
+def exported_height_maps(v):
+    from voxelith.operators.export import REGIONS, height_rows
+    from voxelith.sources.region import read_world
+
+    return height_rows(read_world(v.spark, f"{_exported(v).folder}/{REGIONS}", "chunks"))
+
+
+@query(_PLACED + " select cast(x >> 4 as int) as cx, cast(z >> 4 as int) as cz, 4903 as data_version, 'minecraft:full' as status, 0 as light_on, cast(count(distinct y >> 4) as int) as sections, cast(count(*) as int) as blocks from world where z >> 4 = 2 group by 1, 2", "blocks")
+def exported_chunks(v):
+    """What chunks of one row say of themselves; the filter leaves the others unread."""
+    from voxelith.operators.export import REGIONS
+    from voxelith.sources.region import read_world
+
+    return read_world(v.spark, f"{_exported(v).folder}/{REGIONS}", "chunks").where("cz = 2").drop("heights")
+
+
+@query(_PLACED + " select cast(null as int) as x, 0 as y, 0 as z, '' as expected, '' as actual, '' as difference from world where false", "blocks")
+def world_validation(v):
+    """No block differs after export and read-back."""
+    from voxelith.operators.export import world_faults
+
+    return world_faults(_exported(v)).select("x", "y", "z", "expected", "actual", "difference")
