@@ -163,14 +163,14 @@ def _dictionary(segments: DataFrame, mine: str, other: str, total: dict, low: fl
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> Model:
     """From documents (key, text) with labels (key, toxic); nulls in key or label are left out."""
     labels = labels.where(F.col(key).isNotNull() & F.col("toxic").isNotNull()).groupBy(key).agg((F.max(F.col("toxic").cast("int")) > 0).alias("toxic"))
-    both = docs.select(key, F.coalesce("text", F.lit("")).alias("text")).join(labels, key)
-    sizes = {r["toxic"]: r["n"] for r in both.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["toxic"]: r["n"] for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     none = Model(b"", b"", b"")
     if not sizes.get(True) or not sizes.get(False):
         return none
-    draw = F.pmod(F.xxhash64(key, "text"), F.lit(1 << 30)) / float(1 << 30)
+    draw = F.pmod(F.xxhash64(key), F.lit(1 << 30)) / float(1 << 30)
     rate = {c: min(1.0, most / sizes[c]) for c, most in ((True, MAX_TOXIC), (False, MAX_ORDINARY))}
-    sample = stored(both.where(draw < F.when(F.col("toxic"), rate[True]).otherwise(rate[False])).select("text", "toxic"))
+    drawn = labels.where(draw < F.when(F.col("toxic"), rate[True]).otherwise(rate[False]))  # bounded, so documents need no exchange
+    sample = stored(docs.select(key, F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(drawn), key).select("text", "toxic"))
     segments = stored(_segments(sample).where(F.col("n0") + F.col("n1") >= 2))
     total = segments.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).first()
     if not total["n0"] or not total["n1"]:
