@@ -40,9 +40,18 @@ from lineitem group by 1, 2, 3""",
     "cells": """
 select cast(l_partkey % 30 as int) as ix, cast(l_suppkey % 7 as int) as iy, cast(l_quantity as int) % 20 as iz, count(*) as n, cast(sum(l_orderkey % 5) as bigint) as s
 from lineitem group by 1, 2, 3 having count(*) > (select count(*) / 4200e0 + 0.4e0 * sqrt(count(*) / 4200e0) from lineitem)""",
+    # Ten frames a room, rooms side by side: frames, depths and cells grow with the tables.  Rotations are quarter turns about y.
+    "poses": """
+select frame, cast(floor(frame / 10) as int) as room, cast(r0 as double) as r00, 0e0 as r01, cast(-r2 as double) as r02, 0e0 as r10, 1e0 as r11, 0e0 as r12, cast(r2 as double) as r20, 0e0 as r21, cast(r0 as double) as r22,
+       -(r0 * x - r2 * z) as tx, -y as ty, -(r2 * x + r0 * z) as tz, 8e0 as fx, 8e0 as fy, 8e0 as cx, 6e0 as cy, 16 as width, 12 as height
+from (select s_suppkey as frame, case s_suppkey % 4 when 0 then 1 when 2 then -1 else 0 end as r0, case s_suppkey % 4 when 1 then 1 when 3 then -1 else 0 end as r2,
+             floor(s_suppkey / 10) * 12 + 3e0 + (s_suppkey * 7 % 13) / 2e0 as x, 1.5e0 + (s_suppkey * 3 % 5) / 4e0 as y, 3e0 + (s_suppkey * 5 % 13) / 2e0 as z from supplier) q""",
+    "depth_maps": """
+select l_suppkey as frame, cast(l_orderkey % 12 as int) as v, cast(l_partkey % 16 as int) as u, max(l_quantity) / 8e0 as depth,
+       max(l_orderkey * 37 % 256) as red, max(l_partkey * 11 % 256) as green, max(l_linenumber * 30) as blue from lineitem group by 1, 2, 3""",
 }
 #: Tables and views each view reads.
-_TABLES = {"points": ["lineitem"], "palette": ["part"], "cameras": ["supplier"], "frames": ["events"], "pixels": ["events"], "metrics": ["events"], "pairs": ["lineitem"], "blocks": ["lineitem"], "cells": ["lineitem"]}
+_TABLES = {"points": ["lineitem"], "palette": ["part"], "cameras": ["supplier"], "frames": ["events"], "pixels": ["events"], "metrics": ["events"], "pairs": ["lineitem"], "blocks": ["lineitem"], "cells": ["lineitem"], "poses": ["supplier"], "depth_maps": ["lineitem"]}
 
 
 class Views:

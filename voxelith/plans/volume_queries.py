@@ -139,3 +139,57 @@ def nearest_extension(v):
 @query(" select ix, iz, count(*) as n, max(iy) as top, cast(sum(n) as bigint) as points from cells group by 1, 2", "cells")
 def column_summary(v):
     return v.cells.groupBy("ix", "iz").agg(F.count("*").alias("n"), F.max("iy").alias("top"), F.sum("n").alias("points"))
+
+
+ROOM_CELLS, CELL, FAR = (24, 8, 24), 0.5, 6.0
+_FUSED = """, cells as materialized (select cast(i as int) as ix, cast(j as int) as iy, cast(k as int) as iz, (i + 0.5e0) * 0.5e0 as px, (j + 0.5e0) * 0.5e0 as py, (k + 0.5e0) * 0.5e0 as pz
+   from unnest(range(0, 24 * (select max(room) + 1 from poses))) as a(i), unnest(range(0, 8)) as b(j), unnest(range(0, 24)) as c(k)),
+ cam as (select ix, iy, iz, frame, r00 * px + r01 * py + r02 * pz + tx as x, r10 * px + r11 * py + r12 * pz + ty as y, r20 * px + r21 * py + r22 * pz + tz as z from cells, poses),
+ seen as (select ix, iy, iz, frame, z, cast(round_even(8e0 * x / z + 8e0, 0) as int) as u, cast(round_even(8e0 * y / z + 6e0, 0) as int) as v from cam where z > 1e-6 and z <= 6),
+ samples as (select ix, iy, iz, depth - z as sdf, greatest(0.03e0 * z, 1.5e0) as t, red, green, blue from seen join depth_maps using (frame, u, v) where depth > 0),
+ fused as materialized (select ix, iy, iz, coalesce(round(avg(least(sdf / t, 1e0)) filter (sdf > -t), 12), 1e0) as tsdf, count(*) filter (sdf > -t) as weight, count(*) filter (abs(sdf) < t) as near,
+   coalesce(sum(red) filter (abs(sdf) < t), 0) / greatest(count(*) filter (abs(sdf) < t), 1) as red, coalesce(sum(green) filter (abs(sdf) < t), 0) / greatest(count(*) filter (abs(sdf) < t), 1) as green,
+   coalesce(sum(blue) filter (abs(sdf) < t), 0) / greatest(count(*) filter (abs(sdf) < t), 1) as blue, count(*) filter (sdf > t) as free, count(*) filter (sdf < -t) as occluded from samples group by 1, 2, 3)"""
+
+
+def _fused(v):
+    """The rooms' grid and their volume, over every frame and cell."""
+    from voxelith.operators.fusion import Grid, fuse_frames
+
+    rooms = (v.poses.agg(F.max("room")).first()[0] or 0) + 1
+    grid = Grid((0.0, 0.0, 0.0), CELL, (ROOM_CELLS[0] * rooms, *ROOM_CELLS[1:]))
+    return grid, fuse_frames(v.poses, v.depth_maps, grid, FAR)
+
+
+@query(_FUSED + " select ix, iy, iz, cast(round(1e6 * tsdf) as bigint) as tsdf, weight, near, cast(round(1e6 * red) as bigint) as red, cast(round(1e6 * green) as bigint) as green, cast(round(1e6 * blue) as bigint) as blue, free, occluded from fused", "poses", "depth_maps")
+def fused_volume(v):
+    """Fusion of all frames by the tiles they see; the SQL tries all pairs of cells and frames."""
+    return _fused(v)[1].withColumns({c: F.round(1e6 * F.col(c)).cast("bigint") for c in ("tsdf", "red", "green", "blue")})
+
+
+_STEPS = {"ix": "a.ix + 1 = b.ix and a.iy = b.iy and a.iz = b.iz", "iy": "a.ix = b.ix and a.iy + 1 = b.iy and a.iz = b.iz", "iz": "a.ix = b.ix and a.iy = b.iy and a.iz + 1 = b.iz"}
+
+
+def _gradient_sql(axis: str, most: str) -> str:
+    of = lambda sign: f"coalesce((select tsdf from fused n where {' and '.join(f'n.{i} = f.{i}' + (f' {sign} 1' if i == axis else '') for i in _STEPS)}), 1e0)"
+    return f"case when {axis} = 0 then {of('+')} - tsdf when {axis} = {most} then tsdf - {of('-')} else ({of('+')} - {of('-')}) / 2 end as g{axis[1]}"
+
+
+_SURFACE = _FUSED + f""", wide as (select *, 24 * (select max(room) + 1 from poses) - 1 as last from fused),
+ g as materialized (select f.*, {', '.join(_gradient_sql(a, m) for a, m in (('ix', 'last'), ('iy', '7'), ('iz', '23')))} from wide f),
+ met as ({' union all '.join(f"select {k} as axis, a.ix, a.iy, a.iz, a.tsdf / (a.tsdf - b.tsdf) as f, a.near > 0 as na, b.near > 0 as nb, a.green as ga, b.green as gb, a.gx + b.gx as x, a.gy + b.gy as y, a.gz + b.gz as z from g a join g b on {on} where a.weight >= 3 and b.weight >= 3 and (a.tsdf > 0) <> (b.tsdf > 0) and abs(a.tsdf - b.tsdf) <= 1 and (a.near > 0 or b.near > 0)" for k, on in enumerate(_STEPS.values()))}),
+ mixed as (select *, case when na then 1 - f else 0 end as wa, case when nb then f else 0 end as wb, greatest(sqrt(x * x + y * y + z * z), 1e-9) as len from met)
+ select axis, ix, iy, iz, cast(round(1e6 * (ix + 0.5 + case when axis = 0 then f else 0 end) / 2) as bigint) as x, cast(round(1e6 * (iy + 0.5 + case when axis = 1 then f else 0 end) / 2) as bigint) as y,
+        cast(round(1e6 * (iz + 0.5 + case when axis = 2 then f else 0 end) / 2) as bigint) as z, cast(round(1e5 * (ga * wa + gb * wb) / greatest(wa + wb, 1e-9)) as bigint) as green,
+        cast(round(1e6 * x / len) as bigint) as nx, cast(round(1e6 * y / len) as bigint) as ny, cast(round(1e6 * z / len) as bigint) as nz from mixed"""
+
+
+@query(_SURFACE, "poses", "depth_maps")
+def fused_surface(v):
+    """Surface points of the fused volume with place, colour and normal."""
+    from voxelith.operators.fusion import surface
+
+    grid, volume = _fused(v)
+    s = surface(volume, grid)
+    fixed = {c: F.round(1e6 * F.col(c)).cast("bigint") for c in ("x", "y", "z", "nx", "ny", "nz")} | {"green": F.round(1e5 * F.col("green")).cast("bigint")}
+    return s.withColumns(fixed).drop("red", "blue")
