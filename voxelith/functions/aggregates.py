@@ -32,14 +32,16 @@ def mad(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 def robust_affine(df: DataFrame, keys: list[str], x: str, y: str, rounds: int = 4, cut: float = 3.0) -> DataFrame:
     """(keys, slope, intercept): least squares, refitted to the rows whose residual is under cut * 1.4826 * MAD.
 
-    The MAD is that of the rows kept so far; the mask is over all rows.  A MAD of 0 keeps what lies on the line."""
+    The MAD is that of the rows kept so far; the mask is over all rows.  A MAD of 0 keeps what lies on the line.
+    Rows of one x have the solution of least norm."""
     from voxelith.operators.lineage import cut as materialised
 
     rows = df.withColumn("_keep", F.lit(True))
     fit = None
     for i in range(rounds):
         kept = F.when(F.col("_keep"), F.col(y)), F.when(F.col("_keep"), F.col(x))
-        fit = rows.groupBy(*keys).agg(F.regr_slope(*kept).alias("slope"), F.regr_intercept(*kept).alias("intercept"))
+        mx, my = F.avg(kept[1]), F.avg(kept[0])
+        fit = rows.groupBy(*keys).agg(F.coalesce(F.regr_slope(*kept), mx * my / (mx * mx + 1)).alias("slope"), F.coalesce(F.regr_intercept(*kept), my / (mx * mx + 1)).alias("intercept"))
         if i == rounds - 1:
             break
         res = rows.join(fit, keys).withColumn("_r", F.abs(F.col(y) - (F.col("slope") * F.col(x) + F.col("intercept"))))

@@ -42,13 +42,13 @@ def to_camera(x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]:
     return tuple(F.col(f"r{i}0") * x + F.col(f"r{i}1") * y + F.col(f"r{i}2") * z + F.col(t) for i, t in enumerate(("tx", "ty", "tz")))
 
 
-def frame_tiles(frames: DataFrame, grid: Grid, far: Column | float) -> DataFrame:
+def frame_tiles(frames: DataFrame, grid: Grid, far: Column | float, pad: float = 0.0) -> DataFrame:
     """frames with every tile (_t0, _t1, _t2) that their view pyramid up to depth ``far`` may touch: those in the box around
-    it whose bounding sphere is not wholly beyond one of its sides."""
+    it whose bounding sphere is not wholly beyond one of its sides.  The picture counts as wider by ``pad`` pixels on every side."""
     far = F.lit(far) if not isinstance(far, Column) else far
     f = frames.select("frame", *POSE, far.alias("_far"))
     # the eye and the far corners: along each axis, a corner is the eye plus far times (r0 * across + r1 * down + r2)
-    f = f.withColumns({"_u0": (F.lit(-0.5) - F.col("cx")) / F.col("fx"), "_u1": (F.col("width") - 0.5 - F.col("cx")) / F.col("fx"), "_v0": (F.lit(-0.5) - F.col("cy")) / F.col("fy"), "_v1": (F.col("height") - 0.5 - F.col("cy")) / F.col("fy")})
+    f = f.withColumns({f"_{k}{i}": (bound - F.col(c)) / F.col(f_) for k, c, f_, size in (("u", "cx", "fx", "width"), ("v", "cy", "fy", "height")) for i, bound in enumerate((F.lit(-0.5 - pad), F.col(size) - 0.5 + pad))})
     f = f.withColumns({f"_e{j}": -(F.col(f"r0{j}") * F.col("tx") + F.col(f"r1{j}") * F.col("ty") + F.col(f"r2{j}") * F.col("tz")) for j in range(3)})
     edge = TILE * grid.size
     low, high = [], []
@@ -67,7 +67,7 @@ def frame_tiles(frames: DataFrame, grid: Grid, far: Column | float) -> DataFrame
     reach = edge * 3**0.5 / 2 * 1.0001
     inside = (F.col("_z") > -reach) & (F.col("_z") < F.col("_far") + reach)
     for at, focal, middle_, most in (("_x", "fx", "cx", "width"), ("_y", "fy", "cy", "height")):
-        for bound, side in ((F.lit(-0.5), 1), (F.col(most) - 0.5, -1)):  # image planes through the eye: focal * at - (bound - middle) * z = 0
+        for bound, side in ((F.lit(-0.5 - pad), 1), (F.col(most) - 0.5 + pad, -1)):  # image planes through the eye: focal * at - (bound - middle) * z = 0
             slope = bound - F.col(middle_)
             away = side * (F.col(focal) * F.col(at) - slope * F.col("_z")) / F.sqrt(F.col(focal) * F.col(focal) + slope * slope)
             inside = inside & (away > -reach)

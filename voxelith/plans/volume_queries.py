@@ -193,3 +193,26 @@ def fused_surface(v):
     s = surface(volume, grid)
     fixed = {c: F.round(1e6 * F.col(c)).cast("bigint") for c in ("x", "y", "z", "nx", "ny", "nz")} | {"green": F.round(1e5 * F.col("green")).cast("bigint")}
     return s.withColumns(fixed).drop("red", "blue")
+
+
+@query(""", cam as (select frame, r00 * p.x + r01 * p.y + r02 * p.z + tx as x, r10 * p.x + r11 * p.y + r12 * p.z + ty as y, r20 * p.x + r21 * p.y + r22 * p.z + tz as z from points p, poses),
+ low as (select frame, cast(floor((8e0 * y / z + 6e0) / 4) as int) as v, cast(floor((8e0 * x / z + 8e0) / 4) as int) as u, z from cam where z > 1e-6 and z <= 6)
+ select frame, v, u, cast(round(1e6 * min(z)) as bigint) as rendered from low where v between 0 and 2 and u between 0 and 3 group by 1, 2, 3""", "points", "poses")
+def rendered_depths(v):
+    """The nearest point in each coarse pixel of every frame; the SQL tries all pairs of points and frames."""
+    from voxelith.operators.fusion import Grid
+    from voxelith.operators.refine import render
+
+    edge = Grid((-12.0, -12.0, -12.0), CELL, (96, 96, 96))  # the points' own box, 0 to 20, 10 and 5
+    return render(v.points, v.poses, edge, FAR).withColumn("rendered", F.round(1e6 * F.col("rendered")).cast("bigint"))
+
+
+@query(None)
+def refined_depths(v):
+    """Depths after a round of fusion, rendering and refitting; tests hold the steps against dense arithmetic."""
+    from voxelith.operators.fusion import Grid
+    from voxelith.operators.refine import refined
+
+    rooms = (v.poses.agg(F.max("room")).first()[0] or 0) + 1
+    grid = Grid((0.0, 0.0, 0.0), CELL, (ROOM_CELLS[0] * rooms, *ROOM_CELLS[1:]))
+    return refined(v.poses, v.depth_maps.select("frame", "v", "u", "depth"), grid, FAR, rounds=1, factor=2, least=4)[0]
