@@ -222,11 +222,12 @@ def across_components(shared: DataFrame, label: DataFrame, docs: DataFrame, k: i
     rows = stored(arrow_map(both, run, fields))
     links = stored(rows.where("linked and place = 0").select(F.least("p", "x").alias("a"), F.greatest("p", "x").alias("b")).distinct())
     side = lambda x: ["p", "e", *(F.col(c).alias(f"{c}{x}") for c in ("x", "component", "place", "many", "size"))]
-    left, right = rows.where("not linked").select(*side("a")), rows.where("first").select(*side("b"))
+    left, right = rows.where("not linked").select(*side("a"), F.col("first").alias("firsta")), rows.where("first").select(*side("b"), F.col("linked").alias("linkedb"))
     shared_at_most = F.least(F.col("manya") - F.col("placea"), F.col("manyb") - F.col("placeb"))
     close = (100 + percent) * (F.col("manya") + F.col("manyb") - 2 * shared_at_most) <= (100 - percent) * (F.col("sizea") + F.col("sizeb"))
     alike = 100 * F.least("sizea", "sizeb") >= percent * F.greatest("sizea", "sizeb")
-    found = left.join(right, ["p", "e"]).where("componenta <> componentb").where(close & alike)
+    # the least element that two differences share is among the first of both, unless the pivot is linked to one of them
+    found = left.join(right, ["p", "e"]).where("componenta <> componentb").where(close & alike & (F.col("firsta") | F.col("linkedb")))
     out = stored(found.select(F.least("xa", "xb").alias("a"), F.greatest("xa", "xb").alias("b")).distinct())
     drop(member), drop(mixed), drop(pairs), drop(ids), drop(sets), drop(rows)
     return links, out
