@@ -126,3 +126,43 @@ def test_nearest_finds_far_rows_and_all_of_few(spark):
     got = {(r.a, r.b) for r in nearest(df, df, 2, 0.001, "id").collect()}
     assert got == {(0, 0), (0, 1), (1, 1), (1, 0), (2, 2), (2, 3), (3, 3), (3, 1)}
     assert {(r.a, r.b) for r in nearest(df, df, 2, 0.5, "id", on=("g",)).where("a = 3").collect()} == {(3, 3)}
+
+
+def brute_nearest(left, right, k):
+    out = set()
+    for a, *p, g in left:
+        near = sorted((sum((u - v) ** 2 for u, v in zip(p, q)), b) for b, *q, h in right if g == h)
+        out |= {(a, b, i + 1) for i, (_, b) in enumerate(near[:k])}
+    return out
+
+
+def test_nearest_by_levels_equals_brute_force(spark):
+    import random
+
+    from voxelith.operators.neighbors import nearest
+
+    rng = random.Random(3)
+    spot = lambda c, s: tuple(round(v + rng.gauss(0, s), 3) for v in c)
+    left = [(i, *spot((0, 0, 0), 5), rng.choice("ab")) for i in range(150)] + [(i, *spot((500, -300, 40), 1), "c") for i in range(150, 200)] + [(200, 1.0, 2.0, 3.0, "none")]
+    right = [(i, *spot((900, 0, 0), 8), rng.choice("ab")) for i in range(1000, 1200)] + [(i, 2.5, 2.5, 2.5, "a") for i in range(1200, 1300)] + [(1300, 0.0, 0.0, 0.0, "c"), (1301, 1e5, 0.0, 0.0, "c")]
+    names = "id int, x double, y double, z double, g string"
+    l, r = spark.createDataFrame(left, names), spark.createDataFrame(right, names)
+    assert {(t.a, t.b, t.rank) for t in nearest(l, r, 4, 2.0, "id", on=("g",)).collect()} == brute_nearest(left, right, 4)
+    flat = lambda rows: [(*t[:4], "x") for t in rows]
+    assert {(t.a, t.b, t.rank) for t in nearest(l, r, 1, 2.0, "id").collect()} == brute_nearest(flat(left), flat(right), 1)
+    assert nearest(l, r.where("false"), 2, 1.0, "id").collect() == [] and nearest(l.where("false"), r, 2, 1.0, "id").collect() == []
+
+
+def test_distant_clusters_meet_in_few_pairs(spark):
+    from voxelith.operators import neighbors
+
+    n = 1500
+    cloud = lambda at, seed: spark.range(n).selectExpr("id", f"{at} + rand({seed}) * 10 as x", f"rand({seed + 1}) * 10 as y", f"rand({seed + 2}) * 10 as z")
+    left, right = cloud(0, 1).cache(), cloud(1000, 5).cache()
+    pairs = neighbors._by_levels(left, right, 1, 4.0, "id", ("x", "y", "z"), (), ())
+    assert pairs.count() < 0.15 * n * n and pairs.select("a").distinct().count() == n
+    best = pairs.groupBy("a").agg(F.min("d2").alias("d2"))
+    x = np.array(left.orderBy("id").select("x", "y", "z").collect())
+    y = np.array(right.orderBy("id").select("x", "y", "z").collect())
+    want = ((x[:, None] - y[None]) ** 2).sum(-1).min(1)
+    assert np.allclose([r.d2 for r in best.orderBy("a").collect()], want)

@@ -51,24 +51,104 @@ def within(left: DataFrame, right: DataFrame, radius: float, key: str, xyz: tupl
     return left.select(F.col(key).alias("a")).join(n, "a", "left").select(F.col("a").alias(key), F.coalesce("n", F.lit(0)).cast("bigint").alias("neighbours"))
 
 
+#: Rounds of doubled radius before rows search by levels; donors that a finest cell may hold, and how often cells are halved for it at most.
+NEAR_ROUNDS, CELL_ROWS, HALVINGS = 2, 8, 16
+#: Levels after which the lineage of the search is cut.
+CUT_LEVELS = 4
+
+
 def nearest(left: DataFrame, right: DataFrame, k: int, radius: float, key: str, xyz: tuple[str, str, str] = ("x", "y", "z"), extra: tuple[str, ...] = (), on: tuple[str, ...] = ()) -> DataFrame:
-    """(a, b, d2, rank, extra): each left row's k nearest, ties to the smaller key.
+    """(a, b, d2, rank, extra): each left row's k nearest, ties to the smaller key; all, where fewer can match.
 
-    The radius doubles for rows that have fewer than k within it, until it spans both sides, so rows of which fewer than k can
-    match get all of these; rows that found theirs do not search again."""
+    Rows search within the radius, then within twice as much; those that still have fewer than k search level by level
+    (`_by_levels`), so that rows far from every donor meet few of them."""
     rank = F.row_number().over(Window.partitionBy("a").orderBy("d2", "b"))
-    ends = left.select(*xyz).union(right.select(*xyz)).agg(*(f(n).cast("double").alias(f"{f.__name__}_{n}") for n in xyz for f in (F.min, F.max))).first()
-    span = sum(((ends[f"max_{n}"] or 0) - (ends[f"min_{n}"] or 0)) ** 2 for n in xyz) ** 0.5
+    need = cut(right.groupBy(*on).agg(F.least(F.count("*"), F.min(F.lit(k))).alias("_need"))) if on else None
+    have = None if on else right.limit(k).count()
     out, todo = None, left
-    have = right.limit(k).count()
-    while True:
+    for _ in range(NEAR_ROUNDS):
         found = cut(range_pairs(todo, right, radius, key, xyz, extra, on).withColumn("rank", rank).where(F.col("rank") <= k))
-        done = found.groupBy("a").agg(F.count("*").alias("_n")).where(F.col("_n") >= min(k, have)).select("a")
-        full = found if radius >= span else found.join(done, "a")
+        got = found.groupBy("a").agg(F.count("*").alias("_n"))
+        wanted = todo.select(F.col(key).alias("a"), *on)
+        wanted = wanted.join(need, list(on)) if on else wanted.withColumn("_need", F.lit(have))
+        done = cut(wanted.join(got, "a").where(F.col("_n") >= F.col("_need")).select("a").distinct())
+        full = found.join(done, "a")
         out = full if out is None else out.union(full.select(*out.columns))
-        if radius >= span:
-            return out
         todo = cut(todo.join(done.select(F.col("a").alias(key)), key, "left_anti"))
         if todo.isEmpty():
             return out
         radius *= 2
+    far = _by_levels(todo, right, k, radius, key, xyz, extra, on)
+    return out.union(far.withColumn("rank", rank).where(F.col("rank") <= k).select(*out.columns))
+
+
+def _boxes(cells: tuple[str, str, str], other: tuple[str, str, str], scale: int) -> tuple[Column, Column]:
+    """Squares of the least and greatest distance between a cell and one that is ``scale`` times as large, in finest cells."""
+    least, greatest = F.lit(0.0), F.lit(0.0)
+    for q, d in zip(cells, other, strict=True):
+        low, high = F.col(q).cast("double"), F.col(d).cast("double") * scale
+        gap = F.greatest(high - (low + 1), low - (high + scale), F.lit(0.0))
+        far = F.greatest(high + scale - low, low + 1 - high)
+        least, greatest = least + gap * gap, greatest + far * far
+    return least, greatest
+
+
+def _by_levels(left: DataFrame, right: DataFrame, k: int, size: float, key: str, xyz: tuple[str, str, str], extra: tuple[str, ...], on: tuple[str, ...]) -> DataFrame:
+    """(a, b, d2, extra) of left rows and the donors among which their k nearest are.
+
+    Donors are counted in cells of doubled size, level by level, up to where few cells hold all.  From there each occupied
+    cell of left rows goes down: of the children of its candidates it keeps those that are no farther than the distance
+    within which it has k donors for certain.  Only rows and donors of cells that are left at the finest level are paired.
+    Of donors in one place the k smallest keys are enough."""
+    same = F.row_number().over(Window.partitionBy(*on, *xyz).orderBy(key))
+    donors = cut(right.dropna(subset=[*on, *xyz]).withColumn("_r", same).where(F.col("_r") <= k).drop("_r"))
+    rows = left.dropna(subset=[*on, *xyz])
+    ends = donors.select(*xyz).union(rows.select(*xyz)).agg(*(f(n).cast("double").alias(f"{f.__name__}_{n}") for n in xyz for f in (F.min, F.max))).first()
+    if ends[0] is None:
+        return range_pairs(rows.limit(0), donors, size, key, xyz, extra, on)
+    span = max(ends[f"max_{n}"] - ends[f"min_{n}"] for n in xyz)
+    start = {n: ends[f"min_{n}"] for n in xyz}
+    of = lambda df, s: df.withColumns({c: F.floor((F.col(n) - start[n]) / s).cast("bigint") for c, n in zip(CELL, xyz, strict=True)})
+    for _ in range(HALVINGS):  # to cells that hold few donors
+        if not of(donors, size).groupBy(*on, *CELL).count().where(F.col("count") > CELL_ROWS + k).limit(1).count():
+            break
+        size /= 2
+    finest = cut(of(donors, size).groupBy(*on, *CELL).agg(F.count("*").alias("_n")))
+    top = 0
+    while size * 2**top < span:
+        top += 1
+
+    def counted(level: int) -> DataFrame:
+        return finest.groupBy(*on, *(F.shiftright(c, level).alias(c) for c in CELL)).agg(F.sum("_n").alias("_n"))
+
+    def kept(tries: DataFrame, whole, near: Column, far: Column) -> DataFrame:
+        """Candidates no farther than where the nearer of them have enough donors for certain."""
+        sure = F.sum("_n").over(whole.orderBy("_far").rangeBetween(Window.unboundedPreceding, 0))
+        tries = tries.withColumns({"_near": near, "_far": far}).withColumn("_sum", sure)
+        tries = tries.withColumn("_most", F.min(F.when(F.col("_sum") >= F.col("_need"), F.col("_far"))).over(whole))
+        return tries.where(F.col("_near") <= F.col("_most") * (1 + 1e-12) + 1e-9).drop("_near", "_far", "_sum", "_most")
+
+    ask, give = tuple(f"{c}q" for c in CELL), tuple(f"{c}d" for c in CELL)
+    total = donors.groupBy(*on).agg(F.least(F.count("*"), F.min(F.lit(k))).alias("_need")) if on else None
+    asked = of(rows, size).select(*on, *(F.col(c).alias(q) for c, q in zip(CELL, ask, strict=True))).distinct()
+    asked = asked.join(total, list(on)) if on else asked.withColumn("_need", F.lit(min(k, donors.limit(k).count())))
+    # at the top two cells along an axis hold everything: each asking cell begins with all of these, eight at most
+    first = counted(top).select(*on, *(F.col(c).alias(d) for c, d in zip(CELL, give, strict=True)), "_n")
+    tries = asked.withColumn("_e", F.lit(0)).join(first.withColumn("_e", F.lit(0)), ["_e", *on]).drop("_e")
+    for level in range(top, -1, -1):
+        tries = kept(tries, Window.partitionBy(*on, *ask), *_boxes(ask, give, 2**level))
+        if level % CUT_LEVELS == 0:
+            tries = cut(tries)
+        if level:
+            below = counted(level - 1).select(*on, *(F.shiftright(c, 1).alias(d) for c, d in zip(CELL, give, strict=True)), *(F.col(c).alias(f"{c}c") for c in CELL), "_n")
+            tries = tries.drop("_n").join(below, [*on, *give]).select(*on, *ask, *(F.col(f"{c}c").alias(d) for c, d in zip(CELL, give, strict=True)), "_n", "_need")
+    a = of(rows, size).select(F.col(key).alias("a"), *(F.col(n).alias(f"l{n}") for n in xyz), *on, *(F.col(c).alias(q) for c, q in zip(CELL, ask, strict=True)))
+    b = of(donors, size).select(F.col(key).alias("b"), *(F.col(n).alias(f"r{n}") for n in xyz), *on, *extra, *(F.col(c).alias(d) for c, d in zip(CELL, give, strict=True)))
+    near, far = F.lit(0.0), F.lit(0.0)  # from a row itself to a finest cell
+    for n, d in zip(xyz, give, strict=True):
+        p = (F.col(f"l{n}") - start[n]) / size - F.col(d)
+        gap, most = F.greatest(-p, p - 1, F.lit(0.0)), F.greatest(F.abs(p), F.abs(p - 1))
+        near, far = near + gap * gap, far + most * most
+    close = kept(a.join(tries, [*on, *ask]), Window.partitionBy("a"), near, far)
+    pairs = close.join(b, [*on, *give])
+    return pairs.withColumn("d2", distance2("l", "r", xyz)).select("a", "b", "d2", *extra)

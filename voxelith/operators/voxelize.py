@@ -37,7 +37,8 @@ def accept_cells(points: DataFrame, lower: Sequence[float], size: float, *, min_
     """(ix, iy, iz, n, views, confidence, nearest, med_r, med_g, med_b) of the cells that pass.
 
     free: cells known to be empty (those outside the grid do not count).  Views count distinct view_id, or the greatest
-    support where there is such a column; without either the threshold does not apply.  Colours are lower medians."""
+    support where there is such a column; without either the threshold does not apply.  Colours are lower medians.
+    All are aggregates that combine where the points are; a cell's states grow with its distinct colours and views only."""
     if free is not None:
         gone = free.select(*IX).distinct()
         points = points.join(gone.where(in_grid(dims)) if dims else gone, list(IX), "left_anti")
@@ -45,7 +46,7 @@ def accept_cells(points: DataFrame, lower: Sequence[float], size: float, *, min_
     for i, n, lo in zip(IX, "xyz", lower, strict=True):
         d = F.col(n) - (F.lit(float(lo)) + (F.col(i) + 0.5) * F.lit(size))
         centre = centre + d * d
-    views = F.max("support") if "support" in points.columns else F.count_distinct("view_id") if "view_id" in points.columns else F.lit(None)
+    views = F.max("support") if "support" in points.columns else F.size(F.collect_set("view_id")) if "view_id" in points.columns else F.lit(None)
     conf = F.avg(F.least(F.greatest(F.col("confidence"), F.lit(0.0)), F.lit(1.0))) if "confidence" in points.columns else F.lit(1.0)
     out = points.groupBy(*IX).agg(
         F.count("*").alias("n"), views.cast("bigint").alias("views"), conf.alias("confidence"), F.min(F.sqrt(centre)).alias("nearest"),
@@ -70,22 +71,29 @@ def drop_isolated(cells: DataFrame, strong: int | None = None) -> DataFrame:
     return kept if strong is None else kept.unionByName(cells.where(F.col("n") >= strong).join(near, list(IX), "left_anti"))
 
 
-def match_palette(cells: DataFrame, palette: DataFrame, rgb: tuple[str, str, str] = ("med_r", "med_g", "med_b"), digits: int = 9) -> DataFrame:
-    """cells with palette_id and block_state of the least Lab distance plus penalty; ties go to the palette's first.
+#: Entries of a palette at most: what is sent to every task has a proven bound.
+LARGEST_PALETTE = 65_535
 
-    The palette is a dimension of a few hundred rows at most: one row holds it as an array, and each cell scores it in one
-    projection.  Cells without a colour are left out."""
-    own, lab = ("_lab_l", "_lab_a", "_lab_b"), ("l", "a", "b")
-    entries = with_lab(palette, ("pr", "pg", "pb"), lab).select(F.struct("pos", *lab, "penalty", "palette_id", "block_state").alias("e"))
-    whole = entries.agg(F.collect_list("e").alias("_palette"))
 
-    def scored(e: Column) -> Column:
-        d = sum(((F.col(o) - e[n]) * (F.col(o) - e[n]) for o, n in zip(own, lab, strict=True)), F.lit(0.0))
-        return F.struct(F.round(F.sqrt(d) + e["penalty"], digits), e["pos"], e["palette_id"].alias("palette_id"), e["block_state"].alias("block_state"))
+def match_palette(cells: DataFrame, palette: DataFrame, rgb: tuple[str, str, str] = ("med_r", "med_g", "med_b"), digits: int = 9) -> DataFrame:
+    """cells (distinct ix, iy, iz) with palette_id and block_state of the least Lab distance plus penalty; ties go to the palette's first.
 
+    The palette is a dimension: one row holds it as an array, and more than LARGEST_PALETTE entries are an error.  Each cell
+    meets the entries in generated code and keeps the least of score and place in one number, within its partition, as cells
+    are grouped by their place already.  Cells without a colour are left out."""
+    own, lab = ("_lab_l", "_lab_a", "_lab_b"), ("l", "a", "b")
+    entries = with_lab(palette, ("pr", "pg", "pb"), lab)
+    whole = entries.agg(F.sort_array(F.collect_list(F.struct("pos", *lab, "penalty"))).alias("_palette"))
+    whole = whole.where(F.coalesce(F.assert_true(F.size("_palette") <= LARGEST_PALETTE, f"more than {LARGEST_PALETTE} palette entries").cast("boolean"), F.lit(True)))
     coloured = with_lab(cells.where(F.col(rgb[0]).isNotNull() & F.col(rgb[1]).isNotNull() & F.col(rgb[2]).isNotNull()), rgb, own)
-    best = coloured.crossJoin(F.broadcast(whole)).withColumn("_m", F.array_min(F.transform("_palette", scored)))  # one row on the right
-    return best.select(*cells.columns, "_m.palette_id", "_m.block_state")
+    tried = coloured.crossJoin(F.broadcast(whole)).select(*cells.columns, *own, F.posexplode("_palette").alias("_at", "_e"))  # one row on the right
+    d = sum(((F.col(o) - F.col(f"_e.{n}")) * (F.col(o) - F.col(f"_e.{n}")) for o, n in zip(own, lab, strict=True)), F.lit(0.0))
+    score = F.rint(F.round(F.sqrt(d) + F.col("_e.penalty"), digits) * 10**digits).cast("bigint") * (LARGEST_PALETTE + 1) + F.col("_at")
+    rest = [c for c in cells.columns if c not in IX]
+    best = tried.groupBy(*IX).agg(F.min(score).alias("_best"), *(F.first(c).alias(c) for c in rest))
+    order = entries.agg(F.sort_array(F.collect_list(F.struct("pos", "palette_id", "block_state"))).alias("_names"))
+    named = best.crossJoin(F.broadcast(order)).withColumn("_m", F.get("_names", (F.col("_best") % (LARGEST_PALETTE + 1)).cast("int")))
+    return named.select(*cells.columns, "_m.palette_id", "_m.block_state")
 
 
 def ray_cells(rays: DataFrame, size: float, key: str = "ray") -> DataFrame:
