@@ -44,15 +44,25 @@ def density_or_abandon(v):
     return unless_abandoned(v.points, density_filter(v.points, 2, "pid", 3, XYZ), "pid").select("pid")
 
 
-KNN = f", d as (select a.pid as a, b.pid as b, {D2} as d2, row_number() over (partition by a.pid order by {D2}, b.pid) as rank from points a, points b), means as (select a as pid, sum(sqrt(d2)) / count(*) as mean_d from d where rank <= 8 group by a)"
+def _knn_sql(cell: int, k: int, left: str = "points", right: str = "points", extra: str = "b.pid as b", on: str = "") -> str:
+    """d (a, b, d2, rank): each left row's donors in order, from the 27 cells around it, or from all where these hold fewer than k within reach."""
+    also = f"and a.{on} = b.{on}" if on else ""
+    return f""", give as (select *, xi // {cell} + i as cx, yi // {cell} + j as cy, zi // {cell} + k as cz from {right}, unnest([-1, 0, 1]) as p(i), unnest([-1, 0, 1]) as q(j), unnest([-1, 0, 1]) as r(k)),
+ close as materialized (select a.pid as a, {extra}, {D2} as d2 from {left} a join give b on {_near_on(cell)} {also} where {D2} <= {cell * cell}),
+ few as materialized (select pid from {left} where pid not in (select a from close group by a having count(*) >= {k})),
+ tried as (select * from close where a not in (select pid from few) union all select a.pid as a, {extra}, {D2} as d2 from {left} a join {right} b on true {also} where a.pid in (select pid from few)),
+ d as (select *, row_number() over (partition by a order by d2, b) as rank from tried)"""
 
 
-@query(KNN + " select pid, round(mean_d, 6) as mean_d from means", "points", slow=True)
+KNN = _knn_sql(10, 8) + ", means as (select a as pid, sum(sqrt(d2)) / count(*) as mean_d from d where rank <= 8 group by a)"
+
+
+@query(KNN + " select pid, round(mean_d, 6) as mean_d from means", "points")
 def knn_mean_distance(v):
     return mean_distance(v.points, "pid", 8, 3, XYZ).select("pid", F.round("mean_d", 6).alias("mean_d"))
 
 
-@query(KNN + ", m as (select median(mean_d) as med from means), k as (select median(abs(mean_d - med)) as mad from means, m) select pid from means, m, k where mean_d <= med + 2 * greatest(mad, 1e-15)", "points", slow=True)
+@query(KNN + ", m as (select median(mean_d) as med from means), k as (select median(abs(mean_d - med)) as mad from means, m) select pid from means, m, k where mean_d <= med + 2 * greatest(mad, 1e-15)", "points")
 def mad_outliers(v):
     return outlier_filter(mean_distance(v.points, "pid", 8, 3, XYZ), 2.0).select("pid")
 
@@ -63,14 +73,14 @@ def nearest_within(v):
     return v.points.select("pid").join(hit, "pid", "left").select("pid", F.coalesce("near", F.lit(False)).alias("near"))
 
 
-@query(f", d as (select a.pid as a, b.red, {D2} as d2, row_number() over (partition by a.pid order by {D2}, b.pid) as rank from points a, points b where b.view_id = 3) select a as pid, round(sum(red / greatest(d2, 1e0)) / sum(1 / greatest(d2, 1e0)), 6) as red from d where rank <= 12 group by a", "points", slow=True)
+@query(_knn_sql(15, 12, right="(select * from points where view_id = 3)", extra="b.pid as b, b.red as red") + " select a as pid, round(sum(red / greatest(d2, 1e0)) / sum(1 / greatest(d2, 1e0)), 6) as red from d where rank <= 12 group by a", "points")
 def inverse_distance_colour(v):
     n = nearest(v.points, v.points.where("view_id = 3"), 12, 6, "pid", XYZ, ("red",))
     w = 1 / F.greatest(F.col("d2"), F.lit(1.0))
     return n.groupBy("a").agg(F.round(F.sum(F.col("red") * w) / F.sum(w), 6).alias("red")).select(F.col("a").alias("pid"), "red")
 
 
-@query(f", k as (select *, case when ny > 0.7 then 'floor' when ny < -0.7 then 'ceiling' else 'wall' end as kind from points), d as (select a.pid as a, b.pid as b, row_number() over (partition by a.pid order by {D2}, b.pid) as rank from k a join k b on a.kind = b.kind where b.view_id = 4) select a as pid, b as donor from d where rank = 1", "points", slow=True)
+@query(", kinds as (select *, case when ny > 0.7 then 'floor' when ny < -0.7 then 'ceiling' else 'wall' end as kind from points)" + _knn_sql(15, 1, left="kinds", right="(select * from kinds where view_id = 4)", on="kind") + " select a as pid, b as donor from d where rank = 1", "points")
 def same_kind_nearest(v):
     kind = F.when(F.col("ny") > 0.7, "floor").when(F.col("ny") < -0.7, "ceiling").otherwise("wall")
     p = v.points.withColumn("kind", kind)
