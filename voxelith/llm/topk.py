@@ -4,10 +4,12 @@ Vectors become integers, floor(SCALE * x).  A block of index rows holds one post
 rows whose component lies in that level's range, with their components.  For a query, a row gains at least ``base`` in each
 dimension, and a segment's impact is the most that one of its rows gains there beyond that.  Impacts are quantised to STEPS
 steps and segments are processed by descending step: every row of a segment gets its gain added to an accumulator.  So an
-accumulator is a lower bound of the row's score, and with what the dimensions not yet met for the row can still
-give (no more than the next step's impact each, and than their sum) it is an upper bound.  After each step a query stops
+accumulator is a lower bound of the row's score, and with the most that each dimension's segments still to come can give
+it is an upper bound.  Many queries are processed at once, each with its own segments of the step, as products of
+matrices.  After each step a query stops
 if its k-th lower bound proves that few enough rows can still be members; those, all of them, are scored exactly.  After
-the last step accumulators are exact.  Sums are of integers below 2^53 in float64, so the proof has no rounding.
+the last step accumulators are exact.  Sums are of integers below 2^24 in float32, or else below 2^53 in float64, so the
+proof has no rounding.
 
 Query blocks meet index blocks in a grid, so no side is broadcast or collected; each cell keeps at most k rows a
 query, and a query's cells are merged.
@@ -25,13 +27,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SCALE = 64
-LEVELS = 8
+LEVELS = 4
 #: Steps that impacts are quantised to.
-STEPS = 16
+STEPS = 8
 #: A query stops when no more rows than this many times k can be members (or when nothing is left).
 FEW = 16
 #: Rows of an index block and of a query block, about.
 INDEX_ROWS, QUERY_ROWS = 8192, 2048
+#: Queries that are processed at once.
+QUERIES = 64
 
 
 def integers(rows: DataFrame, key: str, vec: str, scale: int) -> DataFrame:
@@ -41,58 +45,67 @@ def integers(rows: DataFrame, key: str, vec: str, scale: int) -> DataFrame:
 
 
 class Block:
-    """Posting segments of some index rows: segment d * levels + j holds the rows (and components) of level j in dimension d."""
+    """Posting segments of some index rows.  Segment (d, j) holds the rows of level j in dimension d and their components; the
+    segments of a level lie together, as planes of components and of marks, so that many queries process theirs at once."""
 
     def __init__(self, ids: np.ndarray, v: np.ndarray, levels: int = LEVELS):
         self.ids, self.v, self.dims, self.levels = ids, v, v.shape[1], levels
         order = np.sort(v, axis=0)
         cuts = order[np.linspace(0, len(v) - 1, levels + 1).astype(int)[1:-1]]  # equal shares of the block's rows
         level = (v[:, :, None] >= cuts.T[None, :, :]).sum(2) if levels > 1 else np.zeros(v.shape, int)
-        by_level = np.argsort(level, axis=0, kind="stable")
-        self.rows = by_level.T.ravel().astype(np.int32)
-        self.values = np.take_along_axis(v, by_level, 0).T.ravel().astype(float)
-        sizes = np.stack([(level == j).sum(0) for j in range(levels)], axis=1)  # dimensions x levels
-        self.at = np.append(0, np.cumsum(sizes.ravel()))
-        self.used = sizes > 0
-        self.low, self.high = np.zeros(sizes.shape), np.zeros(sizes.shape)
-        for seg in np.flatnonzero(self.used):
-            inside = self.values[self.at[seg] : self.at[seg + 1]]
-            self.low.flat[seg], self.high.flat[seg] = inside.min(), inside.max()
+        marks = [level.T == j for j in range(levels)]  # dimensions x rows
+        self.used = np.stack([m.any(1) for m in marks], 1)
+        of = lambda none: np.stack([np.where(m, v.T, none) for m in marks], 1)
+        far = np.abs(v).max() + 1
+        self.low, self.high = (np.where(self.used, x, 0).astype(float) for x in (of(far).min(2), of(-far).max(2)))
+        self.largest = int(far)
+        self._planes: dict = {}
+        self.processed = 0  # segments, over all queries
+        self._marks = marks
+
+    def planes(self, kind) -> list[np.ndarray]:
+        """For each level, the components of its segments and below them their marks (2 x dimensions, by rows)."""
+        if kind not in self._planes:
+            self._planes = {kind: [np.concatenate([np.where(m, self.v.T, 0), m]).astype(kind) for m in self._marks]}
+        return self._planes[kind]
 
     def search(self, qids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query row, index row, score) of each query's k best here."""
-        out = [self._one(i, qids[i], q[i], k) for i in range(len(q))]
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-    def _one(self, i: int, qid: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n, weight = len(self.v), q.astype(float)
-        ends = weight[:, None] * self.low, weight[:, None] * self.high
-        base = np.where(self.used, np.minimum(*ends), np.inf).min(1)
-        impact = np.where(self.used, np.maximum(*ends) - base[:, None], -1.0)
-        step = np.where(self.used, np.ceil(STEPS * impact / max(impact.max(), 1.0)), -1).astype(int).ravel()
-        own = self.ids == qid
-        sums, met = np.full(n, base.sum()), np.zeros(n)
-        for now in range(step.max(), -1, -1):
-            segments = np.flatnonzero(step == now)
-            if len(segments):
-                at, many = self.at[segments], self.at[segments + 1] - self.at[segments]
-                where = np.repeat(at - np.cumsum(many) + many, many) + np.arange(many.sum())
-                d = np.repeat(segments // self.levels, many)
-                rows = self.rows[where]
-                sums += np.bincount(rows, self.values[where] * weight[d] - base[d], n)
-                met += np.bincount(rows, minlength=n)
-            elif now:
+        # sums of integers are exact in 32 bits below 2^24, in 64 bits below 2^53
+        kind = np.float32 if 4 * self.dims * self.largest * (np.abs(q).max(initial=0) + 1) < 1 << 24 else np.float64
+        ends = weight[:, :, None] * self.low, weight[:, :, None] * self.high  # queries x dimensions x levels
+        base = np.where(self.used, np.minimum(*ends), np.inf).min(2)
+        impact = np.where(self.used, np.maximum(*ends) - base[:, :, None], -1.0)
+        step = np.where(self.used, np.ceil(STEPS * impact / np.maximum(impact.max((1, 2), keepdims=True), 1.0)), -1).astype(int)
+        gains = np.concatenate([weight, -base], 1)
+        sums = np.repeat(base.sum(1)[:, None], n, 1).astype(kind)
+        own = self.ids[None, :] == qids[:, None]
+        active, out = np.arange(len(q)), []
+        for now in range(STEPS, -1, -1):
+            chosen = step[active] == now
+            if now and not chosen.any():
                 continue
-            left = np.where(step.reshape(impact.shape) < now, impact, 0).max(1)
-            most = sums + np.minimum(left.sum(), left.max() * (self.dims - met))
+            for j, plane in enumerate(self.planes(kind)):
+                mine = chosen[:, :, j]
+                if mine.any():
+                    self.processed += int(mine.sum())
+                    sums += (gains[active] * np.concatenate([mine, mine], 1)).astype(kind) @ plane
+            left = np.where(step[active] < now, impact[active], 0).max(2).sum(1)
             least = np.where(own, -np.inf, sums)
-            kth = -np.partition(-least, k - 1)[k - 1] if n > k else -np.inf
-            able = np.flatnonzero((most >= kth) & ~own)
-            if len(able) <= FEW * k or not now:
+            kth = np.partition(least, n - k, axis=1)[:, n - k] if n > k else np.full(len(active), -np.inf)
+            able = (sums + left[:, None].astype(kind) >= kth[:, None]) & ~own
+            stops = np.ones(len(active), bool) if not now else able.sum(1) <= FEW * k
+            for i in np.flatnonzero(stops):
+                rows = np.flatnonzero(able[i])
+                score = self.v[rows] @ q[active[i]]
+                take = np.lexsort((self.ids[rows], -score))[:k]
+                out.append((np.full(len(take), active[i]), rows[take], score[take]))
+            if stops.any():
+                active, sums, own = active[~stops], sums[~stops], own[~stops]
+            if not len(active):
                 break
-        score = self.v[able] @ q
-        take = np.lexsort((self.ids[able], -score))[:k]
-        return np.full(len(take), i), able[take], score[take]
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def top_k(index: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", vec: str = "embedding", scale: int = SCALE) -> DataFrame:
@@ -112,9 +125,9 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id"
         block = Block(ids, np.stack(a.v.to_numpy()).astype(np.int64))
         q = np.stack(b.v.to_numpy()).astype(np.int64)
         got = []
-        for at in range(0, len(q), 256):
-            i, j, s = block.search(qids[at : at + 256], q[at : at + 256], k)
-            got.append(pd.DataFrame({"query_id": qids[at : at + 256][i], "id": ids[j], "score": s}))
+        for at in range(0, len(q), QUERIES):
+            i, j, s = block.search(qids[at : at + QUERIES], q[at : at + QUERIES], k)
+            got.append(pd.DataFrame({"query_id": qids[at : at + QUERIES][i], "id": ids[j], "score": s}))
         return pd.concat(got)
 
     near = left.groupBy("ib", "qb", "d").cogroup(right.groupBy("ib", "qb", "d")).applyInPandas(cell, "query_id bigint, id bigint, score bigint")
