@@ -28,7 +28,7 @@ def query(sql: str | None, *views: str, slow: bool = False):
 
 
 def _register() -> None:
-    from voxelith.plans import cloud_queries, geometry_queries, job_queries, volume_queries, voxel_queries, world_queries  # noqa: F401
+    from voxelith.plans import cloud_queries, geometry_queries, job_queries, store_queries, volume_queries, voxel_queries, world_queries  # noqa: F401
 
 
 _register()
