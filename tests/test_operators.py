@@ -166,3 +166,21 @@ def test_distant_clusters_meet_in_few_pairs(spark):
     y = np.array(right.orderBy("id").select("x", "y", "z").collect())
     want = ((x[:, None] - y[None]) ** 2).sum(-1).min(1)
     assert np.allclose([r.d2 for r in best.orderBy("a").collect()], want)
+
+
+def test_donors_fall_back_from_kind_to_near_to_all(spark):
+    from voxelith.operators.neighbors import donor_means
+
+    donors = [(i, float(i), 0.0, 0.0, kind, near, float(10 * i)) for i, (kind, near) in enumerate([("floor", True), ("floor", True), ("floor", True), ("wall", True), ("wall", False), ("wall", False), ("wall", False)])]
+    targets = [(100, 2.6, 0.0, 0.0, "floor"), (101, 2.6, 0.0, 0.0, "wall"), (102, 2.6, 0.0, 0.0, "ceiling")]
+    d = spark.createDataFrame(donors, "id int, x double, y double, z double, kind string, near boolean, red double")
+    t = spark.createDataFrame(targets, "id int, x double, y double, z double, kind string")
+
+    def want(pool, k):
+        near = sorted((abs(2.6 - x), x * 10) for x in pool)[:k]
+        w = [1 / max(a, 0.5) ** 2 for a, _ in near]
+        return sum(v * u for (_, v), u in zip(near, w)) / sum(w)
+
+    for k, pools in ((3, {100: [0, 1, 2], 101: [0, 1, 2, 3], 102: [0, 1, 2, 3]}), (5, dict.fromkeys((100, 101, 102), range(7)))):
+        got = {r.id: r.red for r in donor_means(t, d, "id", "kind", "near", ("red",), k, 50.0, 0.5).collect()}
+        assert set(got) == set(pools) and all(abs(got[i] - want(p, k)) < 1e-9 for i, p in pools.items())

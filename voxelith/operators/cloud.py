@@ -86,6 +86,13 @@ def tilt_search(df: DataFrame, tilts: DataFrame, width: float) -> DataFrame:
     return best.agg(F.max_by(F.struct("tilt", "n"), F.struct("n", -F.col("tilt"))).alias("m")).select("m.*")
 
 
+def gaussian_taps(reach: int = 6, sigma: float = 2.0) -> list[tuple[int, float]]:
+    """Offsets and weights of a Gaussian kernel for `circular_peak`."""
+    import math
+
+    return [(o, math.exp(-0.5 * (o / sigma) ** 2)) for o in range(-reach, reach + 1)]
+
+
 def circular_peak(df: DataFrame, bin_: str, weight: str, kernel: list[tuple[int, int]], bins: int = 360) -> DataFrame:
     """One row: the bin of the greatest smoothed weight; smoothing wraps around; the lowest bin on ties."""
     hist = df.groupBy(bin_).agg(F.sum(weight).alias("w"))

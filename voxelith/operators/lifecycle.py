@@ -68,5 +68,10 @@ def wall_clock(start_us: Column, start_ns: Column, ns: Column) -> Column:
     return F.when(d >= 0, start_us + F.floor((d + 500) / 1000))
 
 
+def elapsed_ms(started: Column, ended: Column) -> Column:
+    """Whole milliseconds between two instants, halves to even; clocks that ran backwards count as 0."""
+    return F.greatest(F.lit(0), F.rint((F.unix_micros(ended) - F.unix_micros(started)) / 1000)).cast("bigint")
+
+
 def with_added_columns(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.unionByName(new, allowMissingColumns=True)

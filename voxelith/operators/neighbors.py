@@ -51,6 +51,24 @@ def within(left: DataFrame, right: DataFrame, radius: float, key: str, xyz: tupl
     return left.select(F.col(key).alias("a")).join(n, "a", "left").select(F.col("a").alias(key), F.coalesce("n", F.lit(0)).cast("bigint").alias("neighbours"))
 
 
+def donor_means(targets: DataFrame, donors: DataFrame, key: str, kind: str, near: str, values: tuple[str, ...], k: int, radius: float, least: float, xyz: tuple[str, str, str] = ("x", "y", "z")) -> DataFrame:
+    """(key, values): of each target the mean of its k nearest donors' values, weighted by 1 / greatest(distance, least)^2.
+
+    Donors are those of the target's kind that are marked near; where a kind has fewer than k of them, all that are marked
+    near; where these are fewer than k too, all.  Kinds are few: each donor is listed once for every kind that may take it."""
+    kinds = targets.select(kind).distinct()
+    near_ = F.coalesce(F.col(near), F.lit(False))
+    counts = donors.where(near_).groupBy(F.col(kind).alias("_k")).agg(F.count("*").alias("_own"))
+    everyone = donors.agg(F.count_if(near_).alias("_near"))
+    pools = kinds.join(counts, F.col(kind) == F.col("_k"), "left").crossJoin(F.broadcast(everyone))  # one row on the right
+    pools = pools.select(F.col(kind).alias("_for"), F.when(F.col("_own") >= k, 0).when(F.col("_near") >= k, 1).otherwise(2).alias("_pool"))
+    listed = donors.withColumn("_near", near_).join(F.broadcast(pools), (F.col("_pool") == 2) | F.col("_near") & ((F.col("_pool") == 1) | (F.col(kind) == F.col("_for"))))
+    listed = listed.select(key, *xyz, *values, F.col("_for").alias("_kind"))
+    found = nearest(targets.withColumn("_kind", F.col(kind)), listed, k, radius, key, xyz, values, on=("_kind",))
+    weight = 1 / F.greatest(F.col("d2"), F.lit(float(least) * float(least)))
+    return found.groupBy(F.col("a").alias(key)).agg(*((F.sum(F.col(v) * weight) / F.sum(weight)).alias(v) for v in values))
+
+
 #: Rounds of doubled radius before rows search by levels; donors that a finest cell may hold, and how often cells are halved for it at most.
 NEAR_ROUNDS, CELL_ROWS, HALVINGS = 2, 8, 16
 #: Levels after which the lineage of the search is cut.

@@ -59,6 +59,13 @@ def largest(labels: DataFrame) -> DataFrame:
     return labels.join(F.broadcast(top), "label", "left_semi")
 
 
+def seeded(labels: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The cells of the component that holds most seeds (rows of ix, iy, iz; one each), the largest label on ties; none if no seed is in a cell."""
+    held = labels.join(seeds.select(*IX), list(IX)).groupBy("label").agg(F.count("*").alias("n"))
+    top = held.agg(F.max_by("label", F.struct("n", "label")).alias("label"))
+    return labels.join(F.broadcast(top), "label", "left_semi")
+
+
 def dilate(cells: DataFrame, times: int = 1, mask: DataFrame | None = None, steps: list[tuple[int, int, int]] = FACES) -> DataFrame:
     """Cells and their neighbours, round by round; neighbours outside the mask are not entered.
 

@@ -108,6 +108,13 @@ def ray_cells(rays: DataFrame, size: float, key: str = "ray") -> DataFrame:
     return df.where((F.col("ix") != F.col("_ex")) | (F.col("iy") != F.col("_ey")) | (F.col("iz") != F.col("_ez"))).select(key, *IX).distinct()
 
 
+def carved_cells(rays: DataFrame, size: float, observed: DataFrame, dims: tuple[int, int, int], key: str = "ray") -> DataFrame:
+    """(ix, iy, iz) that some ray crosses, of the grid, without cells that are themselves observed: a ray that grazes a
+    surface does not carve it."""
+    free = ray_cells(rays, size, key).select(*IX).where(in_grid(dims)).distinct()
+    return free.join(observed.select(*IX).distinct(), list(IX), "left_anti")
+
+
 def splat(points: DataFrame, lower: Sequence[float], size: float, radius: float, key: str) -> DataFrame:
     """(key, cell): a point's own cell and the neighbours whose centres are at most radius cells from it."""
     steps = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]

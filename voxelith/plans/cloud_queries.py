@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxelith.functions.aggregates import mad, robust_affine
-from voxelith.operators.cloud import bounds, circular_peak, density_filter, every_kth, floor_layer, histogram_peak, mean_distance, moments, outlier_filter, preview_sample, tilt_search, unless_abandoned
+from voxelith.operators.cloud import bounds, circular_peak, density_filter, every_kth, floor_layer, gaussian_taps, histogram_peak, mean_distance, moments, outlier_filter, preview_sample, tilt_search, unless_abandoned
 from voxelith.operators.neighbors import nearest, neighbour_counts, range_pairs, tag_near
 from voxelith.plans.queries import query
 
@@ -131,9 +131,26 @@ def covariance_moments(v):
     return moments(v.points, XYZ)
 
 
-@query(", p as (select *, true as keep from pairs), f1 as (select frame, regr_slope(depth, disparity) as a, regr_intercept(depth, disparity) as b from pairs group by 1), r1 as (select p.frame, depth, disparity, abs(depth - (a * disparity + b)) as r from pairs p join f1 using (frame)), m1 as (select frame, median(r) as m from r1 group by 1) select frame, round(regr_slope(depth, disparity), 4) as slope, round(regr_intercept(depth, disparity), 3) as intercept from r1 join m1 using (frame) where r <= 3 * 1.4826 * m + 1e-9 group by 1", "pairs")
+def _fit_sql(rounds: int) -> str:
+    """f0 to f<rounds - 1>: fits of the rows kept so far; k0 onwards: which are kept by their residuals' median."""
+    fit = "select frame, regr_slope(depth, disparity) filter (keep) as a, regr_intercept(depth, disparity) filter (keep) as b from {0} group by 1"
+    out = [", k0 as materialized (select frame, depth, disparity, true as keep from pairs)", f"f0 as materialized ({fit.format('k0')})"]
+    for i in range(1, rounds):
+        out.append(f"r{i} as materialized (select k.frame, depth, disparity, keep, abs(depth - (a * disparity + b)) as r from k{i - 1} k join f{i - 1} using (frame))")
+        out.append(f"k{i} as materialized (select r.frame, depth, disparity, r <= 3 * 1.4826 * m + 1e-9 as keep from r{i} r join (select frame, median(r) filter (keep) as m from r{i} group by 1) using (frame))")
+        out.append(f"f{i} as materialized ({fit.format(f'k{i}')})")
+    return ", ".join(out) + f" select frame, round(a, 4) as slope, round(b, 3) as intercept from f{rounds - 1}"
+
+
+@query(_fit_sql(4), "pairs")
 def robust_fit(v):
-    return robust_affine(v.pairs, ["frame"], "disparity", "depth", rounds=2).select("frame", F.round("slope", 4).alias("slope"), F.round("intercept", 3).alias("intercept"))
+    return robust_affine(v.pairs, ["frame"], "disparity", "depth").select("frame", F.round("slope", 4).alias("slope"), F.round("intercept", 3).alias("intercept"))
+
+
+@query(", h as (select (xi * 17 + yi) % 360 as b, sum(weight) as w from points group by 1), k as (select o, exp(-0.5 * (o / 2e0) ** 2) as k from unnest(range(-6, 7)) as t(o)), s as (select (b + o + 360) % 360 as bin, round(sum(w * k), 3) as s from h, k group by 1) select cast(arg_max(bin, {'s': s, 'b': -bin}) as int) as bin, max(s) as s from s", "points")
+def circular_gaussian(v):
+    p = v.points.select(((F.col("xi") * 17 + F.col("yi")) % 360).cast("int").alias("b"), "weight")
+    return circular_peak(p, "b", "weight", gaussian_taps()).withColumn("s", F.round("s", 3))
 
 
 @query(", m as (select frame, median(depth) as med from pairs group by 1) select frame, med, median(abs(depth - med)) as mad from pairs join m using (frame) group by 1, 2", "pairs")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxelith.functions.grid import FACES
-from voxelith.operators.volume import SQUARE, closed, components, crossings, dilate, erode, fill_holes, fuse, grey_closing, largest, opened, shell
+from voxelith.operators.volume import SQUARE, closed, components, crossings, dilate, erode, fill_holes, fuse, grey_closing, largest, opened, seeded, shell
 from voxelith.plans.queries import query
 
 IX = ("ix", "iy", "iz")
@@ -69,6 +69,12 @@ def largest_component(v):
     return largest(components(v.cells)).select(*IX)
 
 
+@query(REACH + ", n as (select k, count(*) as n from lab where (ix * 7 + iz) % 5 = 0 group by 1) select ix, iy, iz from lab where k = (select arg_max(k, {'n': n, 'k': k}) from n)", "cells")
+def seeded_component(v):
+    """The component with most seeds."""
+    return seeded(components(v.cells), v.cells.where("(ix * 7 + iz) % 5 = 0")).select(*IX)
+
+
 @query(f", d1 as (select ix, iy, iz from cells union select ix + a, iy + b, iz + c from cells, {_FACE}), d2 as (select ix, iy, iz from d1 union select ix + a, iy + b, iz + c from d1, {_FACE}) select ix, iy, iz from d2", "cells")
 def dilation(v):
     return dilate(v.cells, 2)

@@ -8,7 +8,7 @@ from voxelith.functions.aggregates import lower_median
 from voxelith.functions.color import lab_of_srgb8, to_linear, to_srgb8
 from voxelith.functions.geometry import finite, quarter_turns, rigid, rotate
 from voxelith.functions.grid import in_grid, linear_key
-from voxelith.operators.voxelize import accept_cells, crop_to_grid, drop_isolated, match_palette, ray_cells, splat, weighted_cells
+from voxelith.operators.voxelize import accept_cells, carved_cells, crop_to_grid, drop_isolated, match_palette, ray_cells, splat, weighted_cells
 from voxelith.plans.queries import query
 
 LOW, HIGH, SIZE = (0.0, 0.0, 0.0), (19.9, 9.9, 5.0), 0.5
@@ -144,6 +144,18 @@ def ray_carving(v):
     return ray_cells(rays, 1.0)
 
 
+@query(""", r as (select x as ox, y as oy, z as oz, cast(x + cam % 5 - 2 as double) + 0.5e0 as x, y + 3.25e0 as y, z - cast(cam % 7 as double) - 0.5e0 as z from cameras),
+ n as (select *, cast(greatest(1, ceil(2 * greatest(abs(x - ox), abs(y - oy), abs(z - oz)) / 1e0)) as int) as n from r),
+ f as (select distinct cast(floor(ox + (x - ox) * (i / cast(n as double))) as int) as ix, cast(floor(oy + (y - oy) * (i / cast(n as double))) as int) as iy, cast(floor(oz + (z - oz) * (i / cast(n as double))) as int) as iz from n, unnest(range(0, n)) as u(i)
+   where not (floor(ox + (x - ox) * (i / cast(n as double))) = floor(x) and floor(oy + (y - oy) * (i / cast(n as double))) = floor(y) and floor(oz + (z - oz) * (i / cast(n as double))) = floor(z)))
+ select ix, iy, iz from f where ix between 0 and 39 and iy between 0 and 19 and iz between 0 and 29 and not exists (select 1 from cells c where c.ix = f.ix and c.iy = f.iy and c.iz = f.iz)""", "cameras", "cells")
+def carved_free_space(v):
+    """Cells that rays cross, without those that are observed."""
+    c = F.col("cam")
+    rays = v.cameras.select(c.alias("ray"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("z").alias("oz"), (F.col("x") + c % 5 - 2 + 0.5).alias("x"), (F.col("y") + 3.25).alias("y"), (F.col("z") - c % 7 - 0.5).alias("z"))
+    return carved_cells(rays, 1.0, v.cells, (40, 20, 30))
+
+
 @query(GRID + """ select distinct pid, ix + a as ix, iy + b as iy, iz + c as iz from grid, unnest([-1, 0, 1]) as p(a), unnest([-1, 0, 1]) as q(b), unnest([-1, 0, 1]) as r(c)
  where (a = 0 and b = 0 and c = 0 or (x / 0.5e0 - (ix + a + 0.5e0)) ** 2 + (y / 0.5e0 - (iy + b + 0.5e0)) ** 2 + (z / 0.5e0 - (iz + c + 0.5e0)) ** 2 <= 0.8e0 * 0.8e0 - 1e-3)""", "points")
 def splat_candidates(v):
