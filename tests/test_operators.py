@@ -184,3 +184,12 @@ def test_donors_fall_back_from_kind_to_near_to_all(spark):
     for k, pools in ((3, {100: [0, 1, 2], 101: [0, 1, 2, 3], 102: [0, 1, 2, 3]}), (5, dict.fromkeys((100, 101, 102), range(7)))):
         got = {r.id: r.red for r in donor_means(t, d, "id", "kind", "near", ("red",), k, 50.0, 0.5).collect()}
         assert set(got) == set(pools) and all(abs(got[i] - want(p, k)) < 1e-9 for i, p in pools.items())
+
+
+def test_many_rounds_of_growing_and_shrinking(spark):
+    one = spark.createDataFrame([(0, 0, 0)], "ix int, iy int, iz int")
+    grown = volume.dilate(one, 9)
+    assert grown.count() == sum(1 for x in range(-9, 10) for y in range(-9, 10) for z in range(-9, 10) if abs(x) + abs(y) + abs(z) <= 9)
+    assert [tuple(r) for r in volume.erode(grown, 9).collect()] == [(0, 0, 0)]
+    line = spark.range(-3, 6).selectExpr("cast(id as int) as ix", "0 as iy", "0 as iz")
+    assert volume.dilate(one, 9, mask=line).count() == 9

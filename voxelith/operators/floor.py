@@ -16,6 +16,8 @@ from voxelith.operators.cloud import every_kth
 #: Greatest correction and step in degrees, a floor's thickness as a share of the scene's diagonal, its least share
 #: and number of points, the least share of the scene above it, and the points that the sample has, about (less than twice as many).
 CAP, STEP, THICKNESS, SUPPORT, LEAST, ABOVE, SAMPLE = 10.0, 0.5, 0.005, 0.05, 500, 0.7, 50_000
+#: Tilts that a task tries in one table.
+AT_ONCE = 16
 
 
 def normals() -> np.ndarray:
@@ -27,15 +29,18 @@ def normals() -> np.ndarray:
     return n[np.degrees(np.arccos(np.minimum(n[:, 1], 1.0))) <= CAP]
 
 
-def peak(sample: np.ndarray, normal: np.ndarray, thickness: float) -> tuple[int, float]:
-    """Points in the fullest bin of heights above which enough of the scene lies, and the bin's middle; (0, 0) without one."""
-    h = sample @ normal
-    counts = np.bincount(((h - h.min()) / thickness).astype(np.int64))
-    can = np.flatnonzero(1.0 - np.cumsum(counts) / len(h) >= ABOVE)
-    if not len(can):
-        return 0, 0.0
-    at = int(can[np.argmax(counts[can])])
-    return int(counts[at]), float(h.min() + (at + 0.5) * thickness)
+def peaks(sample: np.ndarray, tilts: np.ndarray, thickness: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each of some normals: the points in the fullest bin of heights that has enough of the scene above it (0 without
+    one), and that bin's middle.  All normals' bins lie in one table, a row each."""
+    n, rows = len(sample), np.arange(len(tilts))
+    heights = tilts @ sample.T
+    lowest = heights.min(1)
+    bins = ((heights - lowest[:, None]) / thickness).astype(np.int64)
+    wide = int(bins.max()) + 1
+    table = np.bincount((bins + wide * rows[:, None]).ravel(), minlength=wide * len(tilts)).reshape(len(tilts), wide)
+    table[(n - table.cumsum(1)) < ABOVE * n - 1e-9] = 0
+    fullest = table.argmax(1)
+    return table[rows, fullest], lowest + (fullest + 0.5) * thickness
 
 
 def floor_rotation(points: DataFrame, order: list[str]) -> tuple[list[list[float]], dict]:
@@ -58,9 +63,10 @@ def floor_rotation(points: DataFrame, order: list[str]) -> tuple[list[list[float
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            got = [peak(shared.value, tilts[i], thickness) for i in ids]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.float64())], ["id", "n", "height"])
+            for at in range(0, batch.num_rows, AT_ONCE):
+                ids = batch.column(0).slice(at, AT_ONCE)
+                many, heights = peaks(shared.value, tilts[ids.to_numpy()], thickness)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(many, pa.int64()), pa.array(heights)], ["id", "n", "height"])
 
     tried = spark.range(len(tilts)).mapInArrow(run, "id bigint, n bigint, height double")
     best = tried.agg(F.max_by(F.struct("id", "n", "height"), F.struct("n", -F.col("id"))).alias("b")).first()["b"]

@@ -9,6 +9,8 @@ from voxelith.functions.grid import FACES, offsets
 from voxelith.operators.lineage import cut
 
 IX = ("ix", "iy", "iz")
+#: Rounds of growing or shrinking after which the lineage is cut.
+CUT_ROUNDS = 4
 SQUARE = [(1, 0, 0), (-1, 0, 0), (0, 0, 1), (0, 0, -1)]
 
 
@@ -69,24 +71,30 @@ def seeded(labels: DataFrame, seeds: DataFrame) -> DataFrame:
 def dilate(cells: DataFrame, times: int = 1, mask: DataFrame | None = None, steps: list[tuple[int, int, int]] = FACES) -> DataFrame:
     """Cells and their neighbours, round by round; neighbours outside the mask are not entered.
 
-    Every round reads its input once (a cell moves by no step too), so the plan grows with the rounds and no faster."""
+    Every round reads its input once (a cell moves by no step too), and the lineage is cut every CUT_ROUNDS rounds; a mask
+    that several rounds read is written once."""
     out = cells.select(*IX).distinct()
-    for _ in range(times):
+    if mask is not None:
+        mask = mask.select(*IX).distinct().withColumn("_m", F.lit(True))
+        mask = cut(mask) if times > 1 else mask
+    for i in range(times):
         own = out.withColumn("_o", F.struct(*IX))
         grown = offsets(own, IX, [(0, 0, 0), *steps]).groupBy(*IX).agg(F.max(F.col("_o") == F.struct(*IX)).alias("_in"))
         if mask is not None:
-            grown = grown.join(mask.select(*IX).distinct().withColumn("_m", F.lit(True)), list(IX), "left").where("_in or _m")
+            grown = grown.join(mask, list(IX), "left").where("_in or _m")
         out = grown.select(*IX)
+        out = cut(out) if (i + 1) % CUT_ROUNDS == 0 and i + 1 < times else out
     return out
 
 
 def erode(cells: DataFrame, times: int = 1, steps: list[tuple[int, int, int]] = FACES) -> DataFrame:
     """Cells all of whose neighbours are cells; outside counts as empty."""
     out = cells.select(*IX).distinct()
-    for _ in range(times):
+    for i in range(times):
         moved = offsets(out.withColumn("_o", F.struct(*IX)), IX, [(0, 0, 0), *steps])
         whole = moved.groupBy(*IX).agg(F.count("*").alias("_n"), F.max(F.col("_o") == F.struct(*IX)).alias("_in"))
         out = whole.where((F.col("_n") == len(steps) + 1) & F.col("_in")).select(*IX)
+        out = cut(out) if (i + 1) % CUT_ROUNDS == 0 and i + 1 < times else out
     return out
 
 
