@@ -148,7 +148,7 @@ def fit(train: DataFrame, key: str = "doc_id") -> Model:
     rate = F.lit(0.0)
     for r in sizes:
         rate = F.when(F.col("lang") == r["lang"], F.lit(per_class / r["n"])).otherwise(rate)
-    drawn = train.where(draw < rate).orderBy(draw, key).limit(max(MAX_SAMPLE, 8 * len(classes)))
+    drawn = train.where(draw < rate).orderBy(draw / rate, key).limit(max(MAX_SAMPLE, 8 * len(classes)))  # what is over the bound goes from all languages alike
     where = {c: i for i, c in enumerate(classes)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
