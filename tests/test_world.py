@@ -148,3 +148,13 @@ def test_a_captured_template_keeps_its_tags(tmp_path):
 def test_trees_with_impossible_lengths_are_refused(body):
     with pytest.raises(ValueError):
         decode_nbt(b"\x0a\x00\x00" + body + b"\x00")
+
+
+def test_a_world_is_dumped_as_json(spark, tmp_path):
+    out = X.export_world(blocks(spark, [(0, 0, 0, "minecraft:a"), (1, 0, 0, "minecraft:b"), (2, 0, 0, "minecraft:b")]), str(tmp_path / "w"))
+    X.dump_world(spark, out.folder, str(tmp_path / "dump"))
+    states = spark.read.text(str(tmp_path / "dump" / "distribution")).collect()
+    assert [r.value for r in states][1:] == ['{"state":"minecraft:b","blocks":2}', '{"state":"minecraft:a","blocks":1}'] and X.PLATFORM_STATE in states[0].value
+    assert spark.read.json(str(tmp_path / "dump" / "blocks")).where("place = '2,65,0'").first().state == "minecraft:b"
+    chunk = spark.read.json(str(tmp_path / "dump" / "chunks")).where("chunk = '0,0'").first()
+    assert chunk.status == C.STATUS and chunk.heights.WORLD_SURFACE[0] == 65 + 1 + 64

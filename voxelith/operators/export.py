@@ -107,3 +107,15 @@ def height_rows(chunks: DataFrame, name: str = "WORLD_SURFACE") -> DataFrame:
     rows = chunks.select("cx", "cz", F.posexplode(F.col("heights")[name]).alias("at", "height")).where("height > 0")
     return rows.select((F.col("cx") * 16 + F.col("at").bitwiseAND(15)).alias("x"), (F.col("cz") * 16 + F.shiftright("at", 4)).alias("z"), "height")
 
+
+
+def dump_world(spark, folder: str, target: str) -> None:
+    """A save's blocks, the counts of its states (most first) and what its chunks say, as JSON lines in three folders; the
+    counts, a row a state, are one ordered file."""
+    blocks = read_blocks(spark, folder)
+    place = F.concat_ws(",", "x", "y", "z")
+    blocks.select(place.alias("place"), "state").write.json(f"{target}/blocks")
+    counts = blocks.groupBy("state").agg(F.count("*").alias("blocks"))
+    counts.orderBy(F.desc("blocks"), "state").coalesce(1).write.json(f"{target}/distribution")
+    chunks = read_world(spark, f"{folder}/{REGIONS}", "chunks")
+    chunks.select(F.concat_ws(",", "cx", "cz").alias("chunk"), "data_version", "status", "light_on", "heights").write.json(f"{target}/chunks")
