@@ -48,11 +48,11 @@ def solid(state: Column) -> Column:
     return ~state_name(state).rlike("|".join(NOT_SOLID))
 
 
-def sections(blocks: DataFrame) -> DataFrame:
-    """(cx, cz, sy, blocks, palette): each 16x16x16 section's sorted distinct states (air too, unless it is full)."""
+def sections(blocks: DataFrame, always_air: bool = False) -> DataFrame:
+    """(cx, cz, sy, blocks, palette): each 16x16x16 section's sorted distinct states (air too, unless it is full; always_air: even then)."""
     s = blocks.select(chunk(F.col("x")).alias("cx"), chunk(F.col("z")).alias("cz"), chunk(F.col("y")).alias("sy"), "state")
     out = s.groupBy("cx", "cz", "sy").agg(F.count("*").alias("blocks"), F.array_sort(F.collect_set("state")).alias("palette"))
-    return out.withColumn("palette", F.when(F.col("blocks") < 4096, F.array_sort(F.array_union("palette", F.array(F.lit("minecraft:air"))))).otherwise(F.col("palette")))
+    return out.withColumn("palette", F.when((F.col("blocks") < 4096) | F.lit(always_air), F.array_sort(F.array_union("palette", F.array(F.lit("minecraft:air"))))).otherwise(F.col("palette")))
 
 
 def bits_for(states: Column) -> Column:
