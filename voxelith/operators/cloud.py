@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from voxelith.functions.aggregates import mad
 from voxelith.operators.lineage import cut
-from voxelith.operators.neighbors import nearest, within
+from voxelith.operators.neighbors import nearest_folded, within
 
 EPS = 2.220446049250313e-16
 
@@ -26,17 +26,20 @@ def density_filter(df: DataFrame, radius: float, key: str, least: int = 3, xyz:
 
 def mean_distance(df: DataFrame, key: str, k: int, radius: float, xyz: tuple[str, str, str] = ("x", "y", "z")) -> DataFrame:
     """Mean distance to the k nearest rows, the row itself being one of them."""
-    return nearest(df, df, k, radius, key, xyz).groupBy("a").agg(F.sum(F.sqrt("d2")).alias("s"), F.count("*").alias("c")).select(F.col("a").alias(key), (F.col("s") / F.col("c")).alias("mean_d"))
+    mean = (F.sum(F.sqrt("d2")) / F.count("*")).alias("mean_d")
+    return nearest_folded(df, df, k, radius, key, [mean], xyz).withColumnRenamed("a", key)
 
 
 def outlier_filter(means: DataFrame, times: float = 6.0) -> DataFrame:
     """Rows whose mean distance is at most median + times * max(MAD, eps)."""
+    means = cut(means)
     limit = mad(means, [], "mean_d").select((F.col("med") + times * F.greatest("mad", F.lit(EPS))).alias("_limit"))  # one row
     return means.crossJoin(F.broadcast(limit)).where(F.col("mean_d") <= F.col("_limit")).drop("_limit")
 
 
 def unless_abandoned(before: DataFrame, after: DataFrame, key: str, least: float = 0.5) -> DataFrame:
     """after, or before if under ``least`` of its rows are left."""
+    after = cut(after.select(key))
     n = before.agg(F.count("*").alias("_b")).crossJoin(after.agg(F.count("*").alias("_a")))  # one row
     rows = before.join(after.select(key, F.lit(True).alias("_in")).distinct(), key, "left").crossJoin(F.broadcast(n))
     return rows.where(F.col("_in").isNotNull() | (F.col("_a") < least * F.col("_b"))).drop("_in", "_a", "_b")

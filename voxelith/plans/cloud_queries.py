@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from voxelith.functions.aggregates import mad, robust_affine
 from voxelith.operators.cloud import bounds, circular_peak, density_filter, every_kth, floor_layer, gaussian_taps, histogram_peak, mean_distance, moments, outlier_filter, preview_sample, tilt_search, unless_abandoned
-from voxelith.operators.neighbors import nearest, neighbour_counts, range_pairs, tag_near
+from voxelith.operators.neighbors import nearest, nearest_folded, neighbour_counts, tag_near, tag_within
 from voxelith.plans.queries import query
 
 XYZ = ("xi", "yi", "zi")
@@ -36,7 +36,7 @@ def provenance(v):
 def density(v):
     from voxelith.operators.neighbors import within
 
-    return within(v.points, v.points, 3, "pid", XYZ).where("neighbours >= 3").distinct()  # a line may be listed twice
+    return within(v.points, v.points, 3, "pid", XYZ).where("neighbours >= 3")
 
 
 @query(_near_sql(2) + f", keep as (select a.pid from points a join far b on {_near_on(2)} where {D2} <= 4 group by a.pid having count(*) >= 3) select pid from points where (select count(*) from keep) < 0.5 * (select count(*) from points) or pid in (select pid from keep)", "points")
@@ -69,15 +69,14 @@ def mad_outliers(v):
 
 @query(_near_sql(3) + f", hit as (select distinct a.pid from points a join far b on {_near_on(3)} join points o on o.pid = b.pid where o.view_id = 2 and {D2} <= 9) select a.pid, hit.pid is not null as near from points a left join hit on hit.pid = a.pid", "points")
 def nearest_within(v):
-    hit = range_pairs(v.points, v.points.where("view_id = 2"), 3, "pid", XYZ).select(F.col("a").alias("pid")).distinct().withColumn("near", F.lit(True))
-    return v.points.select("pid").join(hit, "pid", "left").select("pid", F.coalesce("near", F.lit(False)).alias("near"))
+    return tag_within(v.points, v.points.where("view_id = 2"), 3, "pid", "near", XYZ)
 
 
 @query(_knn_sql(15, 12, right="(select * from points where view_id = 3)", extra="b.pid as b, b.red as red") + " select a as pid, round(sum(red / greatest(d2, 1e0)) / sum(1 / greatest(d2, 1e0)), 6) as red from d where rank <= 12 group by a", "points")
 def inverse_distance_colour(v):
-    n = nearest(v.points, v.points.where("view_id = 3"), 12, 6, "pid", XYZ, ("red",))
     w = 1 / F.greatest(F.col("d2"), F.lit(1.0))
-    return n.groupBy("a").agg(F.round(F.sum(F.col("red") * w) / F.sum(w), 6).alias("red")).select(F.col("a").alias("pid"), "red")
+    mean = F.round(F.sum(F.col("red") * w) / F.sum(w), 6).alias("red")
+    return nearest_folded(v.points, v.points.where("view_id = 3"), 12, 6, "pid", [mean], XYZ, ("red",)).withColumnRenamed("a", "pid")
 
 
 @query(", kinds as (select *, case when ny > 0.7 then 'floor' when ny < -0.7 then 'ceiling' else 'wall' end as kind from points)" + _knn_sql(15, 1, left="kinds", right="(select * from kinds where view_id = 4)", on="kind") + " select a as pid, b as donor from d where rank = 1", "points")
