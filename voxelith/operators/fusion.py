@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelith.functions.geometry import project
+from voxelith.operators.lineage import cut
 from voxelith.operators.volume import IX
 
 #: Cells of a tile's edge.
@@ -42,11 +43,17 @@ def to_camera(x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]:
     return tuple(F.col(f"r{i}0") * x + F.col(f"r{i}1") * y + F.col(f"r{i}2") * z + F.col(t) for i, t in enumerate(("tx", "ty", "tz")))
 
 
+def over_tasks(df: DataFrame, *keys: str) -> DataFrame:
+    """df over all tasks: frames lie in few files, but each stands for many tiles, and a tile for hundreds of cells."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
+
+
 def frame_tiles(frames: DataFrame, grid: Grid, far: Column | float, pad: float = 0.0) -> DataFrame:
     """frames with every tile (_t0, _t1, _t2) that their view pyramid up to depth ``far`` may touch: those in the box around
     it whose bounding sphere is not wholly beyond one of its sides.  The picture counts as wider by ``pad`` pixels on every side."""
     far = F.lit(far) if not isinstance(far, Column) else far
-    f = frames.select("frame", *POSE, far.alias("_far"))
+    f = cut(frames.select("frame", *POSE, far.alias("_far")))  # rows of frames; cut, as each column is used many times below and would be spelled out in full there
     # the eye and the far corners: along each axis, a corner is the eye plus far times (r0 * across + r1 * down + r2)
     f = f.withColumns({f"_{k}{i}": (bound - F.col(c)) / F.col(f_) for k, c, f_, size in (("u", "cx", "fx", "width"), ("v", "cy", "fy", "height")) for i, bound in enumerate((F.lit(-0.5 - pad), F.col(size) - 0.5 + pad))})
     f = f.withColumns({f"_e{j}": -(F.col(f"r0{j}") * F.col("tx") + F.col(f"r1{j}") * F.col("ty") + F.col(f"r2{j}") * F.col("tz")) for j in range(3)})
@@ -58,12 +65,13 @@ def frame_tiles(frames: DataFrame, grid: Grid, far: Column | float, pad: float =
             end = f_(F.lit(0.0), F.col("_far") * (f_(*across) + f_(*down) + F.col(f"r2{j}")))
             most = F.lit(0 if out is low else (grid.shape[j] - 1) // TILE)
             out.append(g(F.floor((F.col(f"_e{j}") + end - grid.origin[j]) / edge), most).cast("int"))
-    f = f.withColumns({f"_a{a}": low[a] for a in range(3)} | {f"_b{a}": high[a] for a in range(3)})
+    f = cut(f.withColumns({f"_a{a}": low[a] for a in range(3)} | {f"_b{a}": high[a] for a in range(3)}).drop(*(f"_{k}{i}" for k in "uv" for i in (0, 1)), *(f"_e{j}" for j in range(3))))
+    f = over_tasks(f, "frame")
     for a in range(3):
         f = f.where(F.col(f"_a{a}") <= F.col(f"_b{a}")).withColumn(f"_t{a}", F.explode(F.sequence(f"_a{a}", f"_b{a}")))
     middle = [F.lit(float(grid.origin[a])) + (F.col(f"_t{a}") + 0.5) * edge for a in range(3)]
     x, y, z = to_camera(*middle)
-    f = f.withColumns({"_x": x, "_y": y, "_z": z}).drop(*(f"_{k}{a}" for k in "abe" for a in range(3)), "_u0", "_u1", "_v0", "_v1")
+    f = f.withColumns({"_x": x, "_y": y, "_z": z}).drop(*(f"_{k}{a}" for k in "ab" for a in range(3)))
     reach = edge * 3**0.5 / 2 * 1.0001
     inside = (F.col("_z") > -reach) & (F.col("_z") < F.col("_far") + reach)
     for at, focal, middle_, most in (("_x", "fx", "cx", "width"), ("_y", "fy", "cy", "height")):
@@ -76,13 +84,15 @@ def frame_tiles(frames: DataFrame, grid: Grid, far: Column | float, pad: float =
 
 def cell_samples(frames: DataFrame, depths: DataFrame, grid: Grid, far: Column | float, colours: tuple[str, ...] = ()) -> DataFrame:
     """(ix, iy, iz, frame, sdf, trunc, colours): of each cell and each frame that has a depth where the cell's centre projects."""
-    tiles = frame_tiles(frames, grid, far)
-    cells = tiles.withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(TILE**3 - 1))))
-    parts = (F.floor(F.col("_c") / (TILE * TILE)), F.floor(F.col("_c") / TILE) % TILE, F.col("_c") % TILE)
-    cells = cells.withColumns({n: (F.col(f"_t{a}") * TILE + parts[a]).cast("int") for a, n in enumerate(IX)})
-    cells = cells.where((F.col("ix") < grid.shape[0]) & (F.col("iy") < grid.shape[1]) & (F.col("iz") < grid.shape[2]))
-    x, y, z = to_camera(*(grid.centre(a, F.col(n)) for a, n in enumerate(IX)))
-    cells = cells.withColumns({"_x": x, "_y": y, "_z": z}).where((F.col("_z") > 1e-6) & (F.col("_z") <= F.col("_far")))
+    tiles = over_tasks(frame_tiles(frames, grid, far), "frame", "_t0", "_t1", "_t2")
+    # axis by axis, so that what a row of cells shares is worked out once and no expression holds all three
+    cells = tiles
+    for a, n in enumerate(IX):
+        last = F.least(F.col(f"_t{a}") * TILE + (TILE - 1), F.lit(grid.shape[a] - 1))
+        cells = cells.withColumn(n, F.explode(F.sequence(F.col(f"_t{a}") * TILE, last))).drop(f"_t{a}")
+        part = tuple((F.col(p) if a else F.lit(0.0)) + F.col(f"r{i}{a}") * grid.centre(a, F.col(n)) for i, p in enumerate(("_x", "_y", "_z")))
+        cells = cells.withColumns(dict(zip(("_x", "_y", "_z"), part, strict=True))).drop(*(f"r{i}{a}" for i in range(3)))
+    cells = cells.withColumns({p: F.col(p) + F.col(t) for p, t in (("_x", "tx"), ("_y", "ty"), ("_z", "tz"))}).where((F.col("_z") > 1e-6) & (F.col("_z") <= F.col("_far")))
     u, v = project(F.col("_x"), F.col("_y"), F.col("_z"), *(F.col(c) for c in ("fx", "fy", "cx", "cy")))
     cells = cells.select("frame", *IX, "_z", F.rint(u).cast("int").alias("u"), F.rint(v).cast("int").alias("v"), "width", "height")
     cells = cells.where(F.col("u").between(F.lit(0), F.col("width") - 1) & F.col("v").between(F.lit(0), F.col("height") - 1)).drop("width", "height")
