@@ -53,3 +53,36 @@ def test_a_few_frames_are_fused_by_many_tasks(spark):
     depths = spark.range(12 * 16).select(F.lit(1).cast("long").alias("frame"), F.floor(F.col("id") / 16).cast("int").alias("v"), (F.col("id") % 16).cast("int").alias("u"), F.lit(4.0).alias("depth"))
     seen = cell_samples(frames, F.broadcast(depths), Grid((0.0, 0.0, 0.0), 0.5, (16, 16, 16)), 6.0)
     assert seen.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_cameras_meet_what_is_in_view(spark):
+    """Points in one place are one, cameras in one place are taken once; the least key of the nearest stays; sides that no camera sees meet none."""
+    from voxelith.operators.frames import visible
+
+    points = spark.createDataFrame([(i, 0, x, y, z) for i, (x, y, z) in enumerate([(5, 5, 9), (5, 5, 9), (5, 5, 20), (90, 5, 9), (5, 5, 1), (4, 6, 3)])] + [(9, 1, 5, 5, 9)], "id long, rig long, x int, y int, z int")
+    cameras = spark.createDataFrame([(c, 0, 5.0, 5.0, 2.0) for c in (7, 8)] + [(1, 1, 5.0, 5.0, 30.0), (2, 0, 80.0, 5.0, 0.0)], "cam long, rig long, x double, y double, z double")
+    got = visible(points, cameras, "id", "cam", "rig", (50.0, 50.0), (32.0, 24.0), (64, 48))
+    # (4, 6) is beside the picture from z 2; (90, 5) is beside it too, ten across at a depth of nine
+    assert sorted(map(tuple, got.collect())) == [(7, 32, 24, 0, 7.0), (8, 32, 24, 0, 7.0)]
+    plan = got._jdf.queryExecution().toString()
+    assert "SortAggregate" not in plan
+
+
+def test_visible_points_by_brute_force(spark):
+    import random
+
+    from voxelith.operators.frames import visible
+
+    r = random.Random(3)
+    points = [(i, i % 2, r.uniform(-40, 40), r.uniform(-40, 40), r.choice([r.uniform(-30, 60), 12.0])) for i in range(3000)]
+    cameras = [(c, r.randrange(3), r.uniform(-20, 20), r.uniform(-20, 20), r.uniform(-20, 20)) for c in [*range(12), 2, 5]]
+    want = {}
+    for i, rig, x, y, z in points:
+        for c, own, ox, oy, oz in cameras:
+            if own == rig and z - oz > 0:
+                u, v = 20.0 * (x - ox) / (z - oz) + 8.0, 25.0 * (y - oy) / (z - oz) + 6.0
+                if 0 <= u < 16 and 0 <= v < 12:
+                    at = (c, int(u), int(v))
+                    want[at] = min(want.get(at, (1e9, 0)), (z - oz, i))
+    got = visible(spark.createDataFrame(points, "id long, rig long, x double, y double, z double"), spark.createDataFrame([*cameras, cameras[0]], "cam long, rig long, x double, y double, z double"), "id", "cam", "rig", (20.0, 25.0), (8.0, 6.0), (16, 12))
+    assert {(r.cam, r.u, r.v): (r.depth, r.id) for r in got.collect()} == want and len(want) > 200

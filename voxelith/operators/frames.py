@@ -5,6 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxelith.functions.geometry import project
+from voxelith.operators.fusion import over_tasks
+from voxelith.operators.lineage import cut
+
+#: Edge of the tiles of points, and of the blocks of cameras, that meet in ``visible``.
+EDGE = 8.0
+
 
 def usable(df: DataFrame, brightness: tuple[float, float] = (18, 238), clipped: float = 0.35, sharpness: float = 0.08) -> DataFrame:
     return df.where(F.col("brightness").between(*brightness) & (F.col("clipped") <= clipped) & (F.col("sharpness") >= sharpness))
@@ -98,6 +105,57 @@ def z_buffer(points: DataFrame, frame: str = "frame", scale: int = 4) -> DataFra
     return points.groupBy(frame, F.floor(F.col("v") / scale).cast("int").alias("v"), F.floor(F.col("u") / scale).cast("int").alias("u")).agg(F.min("depth").alias("depth"))
 
 
+def visible(points: DataFrame, cameras: DataFrame, key: str, camera: str, on: str, focal: tuple[float, float], centre: tuple[float, float], size: tuple[int, int], edge: float = EDGE) -> DataFrame:
+    """(camera, u, v, key, depth): the nearest point of each pixel, ties to the smaller key.  Points and cameras (x, y, z) of
+    one value of ``on`` belong together; cameras look along z.
+
+    Points in one place count as the one of least key, cameras in one place are taken once.  Cameras are dealt to blocks; a
+    block meets the tiles that its cameras' view pyramids may touch, and each of its cameras the points of these.  All pixels
+    of a block are in one part of the shuffle, so pairs are folded where they arise.  Points are numbered by z, then key: the
+    least number is the nearest for every camera, and fits a hash aggregate, which a struct does not."""
+    xyz = ("x", "y", "z")
+    places = points.dropna(subset=[on, *xyz]).groupBy(on, *xyz).agg(F.min(key).alias(key)).orderBy("z", key)
+    places = cut(places.withColumns({f"_t{n}": F.floor(F.col(n) / edge) for n in xyz} | {"_o": F.monotonically_increasing_id()}))
+    box = places.agg(*(f(f"_t{n}").alias(f"_{f.__name__}{n}") for n in xyz for f in (F.min, F.max)))  # one row
+    own = cameras.dropna(subset=[on, *xyz]).select(on, camera, *(F.col(n).alias(f"_c{n}") for n in xyz))
+    at = [on, *(f"_c{n}" for n in xyz)]
+    poses = cut(own.select(*at).distinct().withColumn("_pose", F.monotonically_increasing_id()).withColumn("_b", F.struct(on, *(F.floor(F.col(f"_c{n}") / edge) for n in xyz))))
+    ends = [f(f"_c{n}").alias(f"_{f.__name__}c{n}") for n in xyz for f in (F.min, F.max)]
+    blocks = cut(poses.groupBy("_b", on).agg(*ends).withColumn("_block", F.monotonically_increasing_id()))
+
+    # one pixel more on every side, for rounding; a pyramid that does not hold its axis begins on it
+    low, high = ([o(s, 0.0) for s in ((b - c) / f for b, c, f in zip(bounds, centre, focal, strict=True))] for o, bounds in ((min, (-1, -1)), (max, (size[0] + 1, size[1] + 1))))
+    tiles = blocks.crossJoin(F.broadcast(box))
+    reach = (F.col("_tz") + 1) * edge - F.col("_mincz")
+    spans = {"z": (F.floor(F.col("_mincz") / edge), F.col("_maxz"))}
+    spans |= {n: (F.floor((F.col(f"_minc{n}") + reach * a) / edge), F.floor((F.col(f"_maxc{n}") + reach * b) / edge)) for n, a, b in zip("xy", low, high, strict=True)}
+    for n in "zxy":
+        first, last = F.greatest(spans[n][0], F.col(f"_min{n}")), F.least(spans[n][1], F.col(f"_max{n}"))
+        tiles = tiles.where(first <= last).withColumn(f"_t{n}", F.explode(F.sequence(first, last)))
+    near = tiles.join(places, [on, *(f"_t{n}" for n in xyz)])
+    far = F.col("z") - F.col("_mincz")
+    for n, a, b in zip("xy", low, high, strict=True):
+        near = near.where((F.col(n) >= F.col(f"_minc{n}") + far * a) & (F.col(n) <= F.col(f"_maxc{n}") + far * b))
+    near = over_tasks(near.where(far > 0).select("_block", *xyz, "_o", key), "_block")
+
+    pairs = near.join(poses.join(F.broadcast(blocks.select("_b", "_block")), "_b").select("_block", "_pose", *at[1:]), "_block")
+    pairs = pairs.select("_block", "_pose", "_o", key, *((F.col(n) - F.col(f"_c{n}")).alias(f"_d{n}") for n in xyz)).where("_dz > 0")
+    for n, a, b in zip("xy", low, high, strict=True):  # products first, which cost less than quotients
+        pairs = pairs.where((F.col(f"_d{n}") >= F.col("_dz") * a) & (F.col(f"_d{n}") <= F.col("_dz") * b))
+    u, v = project(*(F.col(f"_d{n}") for n in xyz), *map(F.lit, (*focal, *centre)))
+    pairs = pairs.select("_block", "_pose", "_o", key, u.alias("u"), v.alias("v"), F.col("_dz").alias("depth")).where((F.col("u") >= 0) & (F.col("u") < size[0]) & (F.col("v") >= 0) & (F.col("v") < size[1]))
+    pixel = [F.floor(n).cast("int").alias(n) for n in "uv"]
+    seen = pairs.groupBy("_block", "_pose", *pixel).agg(F.min_by(key, "_o").alias(key), F.min("depth").alias("depth"))
+    names = cut(own.join(poses.select(*at, "_pose"), at).select("_pose", camera).distinct())
+    out = seen.join(names, "_pose").select(camera, "u", "v", key, "depth")
+    moved = cut(names.groupBy(camera).count().where("count > 1").select(camera))
+    if moved.isEmpty():
+        return out
+    out = cut(out)  # a camera in several places has one picture
+    nearest = out.join(moved, camera, "left_semi").groupBy(camera, "u", "v").agg(F.min(F.struct("depth", key)).alias("_m"))
+    return out.join(moved, camera, "left_anti").union(nearest.select(camera, "u", "v", f"_m.{key}", "_m.depth"))
+
+
 def predict_depth(images: DataFrame, predictor, schema: str) -> DataFrame:
     """Apply a user's batch predictor, (iterator of pandas frames) -> iterator of pandas frames; a model is loaded once a task."""
     return images.mapInPandas(predictor, schema)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from voxelith.functions.geometry import camera_centre, project, quarter_turns, quaternion_rotation, rigid, unproject, yaw_fold
+from voxelith.functions.geometry import camera_centre, quarter_turns, quaternion_rotation, rigid, unproject, yaw_fold
+from voxelith.operators.frames import visible
 from voxelith.plans.queries import query
 
 
@@ -20,12 +21,8 @@ def transformed_bounds(v):
 
 @query(", c as (select rig, cam, x, y, z from cameras), s as (select c.cam, p.pid, p.xi - c.x as dx, p.yi - c.y as dy, p.zi - c.z as dz from c join points p on p.okey % 25 = c.rig where p.zi - c.z > 0) select cam, cast(floor(50 * dx / dz + 32) as int) as u, cast(floor(50 * dy / dz + 24) as int) as v, arg_min(pid, {'d': dz, 'p': pid}) as pid, min(dz) as depth from s where floor(50 * dx / dz + 32) between 0 and 63 and floor(50 * dy / dz + 24) between 0 and 47 group by 1, 2, 3", "cameras", "points")
 def visible_points(v):
-    cams = v.cameras.select("rig", "cam", F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("z").alias("oz"))
-    p = v.points.withColumn("rig", F.col("okey") % 25).join(cams, "rig").select(  # each point was taken by the cameras of one rig
-        "cam", "pid", (F.col("xi") - F.col("ox")).alias("dx"), (F.col("yi") - F.col("oy")).alias("dy"), (F.col("zi") - F.col("oz")).alias("dz"))
-    u, w = project(F.col("dx"), F.col("dy"), F.col("dz"), F.lit(50.0), F.lit(50.0), F.lit(32.0), F.lit(24.0))
-    p = p.withColumns({"u": F.floor(u).cast("int"), "v": F.floor(w).cast("int")}).where("u between 0 and 63 and v between 0 and 47")
-    return p.groupBy("cam", "u", "v").agg(F.min_by("pid", F.struct("dz", "pid")).alias("pid"), F.min("dz").alias("depth"))
+    p = v.points.select((F.col("okey") % 25).alias("rig"), "pid", *(F.col(f"{n}i").alias(n) for n in "xyz"))  # each point was taken by the cameras of one rig
+    return visible(p, v.cameras, "pid", "cam", "rig", (50.0, 50.0), (32.0, 24.0), (64, 48))
 
 
 @query(", k as (select event_id, event_id % 97 as point, cast(event_id % 12 as int) as u, cast(event_id % 7 as int) as v, job from metrics), p as (select cam as point, z + 1 as depth from cameras) select job % 8 as image, v, u, arg_max(depth, event_id) as depth from k join p using (point) group by 1, 2, 3", "metrics", "cameras")
