@@ -86,3 +86,13 @@ def test_visible_points_by_brute_force(spark):
                     want[at] = min(want.get(at, (1e9, 0)), (z - oz, i))
     got = visible(spark.createDataFrame(points, "id long, rig long, x double, y double, z double"), spark.createDataFrame([*cameras, cameras[0]], "cam long, rig long, x double, y double, z double"), "id", "cam", "rig", (20.0, 25.0), (8.0, 6.0), (16, 12))
     assert {(r.cam, r.u, r.v): (r.depth, r.id) for r in got.collect()} == want and len(want) > 200
+
+
+def test_a_point_far_away_is_seen(spark):
+    from voxelith.operators.frames import visible
+
+    points = spark.createDataFrame([(1, 0, 0.0, 0.0, 1e7), (2, 0, 0.0, 0.0, -1e7), (3, 0, 0.2, 0.0, 4.0)], "id long, rig long, x double, y double, z double")
+    cameras = spark.createDataFrame([(1, 0, 0.0, 0.0, 0.0)], "cam long, rig long, x double, y double, z double")
+    see = lambda p: sorted(map(tuple, visible(p, cameras, "id", "cam", "rig", (50.0, 50.0), (32.0, 24.0), (64, 48)).collect()))
+    assert see(points) == [(1, 32, 24, 1, 1e7), (1, 34, 24, 3, 4.0)]
+    assert see(points.limit(0)) == []

@@ -11,6 +11,8 @@ from voxelith.operators.lineage import cut
 
 #: Edge of the tiles of points, and of the blocks of cameras, that meet in ``visible``.
 EDGE = 8.0
+#: Tiles along an axis at most; tiles of wider clouds are larger, so that a few points far away cost no more.
+TILES = 64
 
 
 def usable(df: DataFrame, brightness: tuple[float, float] = (18, 238), clipped: float = 0.35, sharpness: float = 0.08) -> DataFrame:
@@ -115,8 +117,11 @@ def visible(points: DataFrame, cameras: DataFrame, key: str, camera: str, on: st
     least number is the nearest for every camera, and fits a hash aggregate, which a struct does not."""
     xyz = ("x", "y", "z")
     places = points.dropna(subset=[on, *xyz]).groupBy(on, *xyz).agg(F.min(key).alias(key)).orderBy("z", key)
-    places = cut(places.withColumns({f"_t{n}": F.floor(F.col(n) / edge) for n in xyz} | {"_o": F.monotonically_increasing_id()}))
-    box = places.agg(*(f(f"_t{n}").alias(f"_{f.__name__}{n}") for n in xyz for f in (F.min, F.max)))  # one row
+    places = cut(places.withColumn("_o", F.monotonically_increasing_id()))
+    ends = places.agg(*(f(n).cast("double") for n in xyz for f in (F.min, F.max))).first()
+    span = {n: (a or 0.0, b or 0.0) for n, a, b in zip(xyz, ends[::2], ends[1::2], strict=True)}  # nothing to pair without points
+    tile = max(edge, *((b - a) / TILES for a, b in span.values()))
+    places = places.withColumns({f"_t{n}": F.floor(F.col(n) / tile) for n in xyz})
     own = cameras.dropna(subset=[on, *xyz]).select(on, camera, *(F.col(n).alias(f"_c{n}") for n in xyz))
     at = [on, *(f"_c{n}" for n in xyz)]
     poses = cut(own.select(*at).distinct().withColumn("_pose", F.monotonically_increasing_id()).withColumn("_b", F.struct(on, *(F.floor(F.col(f"_c{n}") / edge) for n in xyz))))
@@ -125,12 +130,12 @@ def visible(points: DataFrame, cameras: DataFrame, key: str, camera: str, on: st
 
     # one pixel more on every side, for rounding; a pyramid that does not hold its axis begins on it
     low, high = ([o(s, 0.0) for s in ((b - c) / f for b, c, f in zip(bounds, centre, focal, strict=True))] for o, bounds in ((min, (-1, -1)), (max, (size[0] + 1, size[1] + 1))))
-    tiles = blocks.crossJoin(F.broadcast(box))
-    reach = (F.col("_tz") + 1) * edge - F.col("_mincz")
-    spans = {"z": (F.floor(F.col("_mincz") / edge), F.col("_maxz"))}
-    spans |= {n: (F.floor((F.col(f"_minc{n}") + reach * a) / edge), F.floor((F.col(f"_maxc{n}") + reach * b) / edge)) for n, a, b in zip("xy", low, high, strict=True)}
+    tiles = over_tasks(blocks, "_block")
+    reach = (F.col("_tz") + 1) * tile - F.col("_mincz")
+    spans = {"z": (F.floor(F.col("_mincz") / tile), F.floor(F.lit(span["z"][1]) / tile))}
+    spans |= {n: (F.floor((F.col(f"_minc{n}") + reach * a) / tile), F.floor((F.col(f"_maxc{n}") + reach * b) / tile)) for n, a, b in zip("xy", low, high, strict=True)}
     for n in "zxy":
-        first, last = F.greatest(spans[n][0], F.col(f"_min{n}")), F.least(spans[n][1], F.col(f"_max{n}"))
+        first, last = F.greatest(spans[n][0], F.floor(F.lit(span[n][0]) / tile)), F.least(spans[n][1], F.floor(F.lit(span[n][1]) / tile))
         tiles = tiles.where(first <= last).withColumn(f"_t{n}", F.explode(F.sequence(first, last)))
     near = tiles.join(places, [on, *(f"_t{n}" for n in xyz)])
     far = F.col("z") - F.col("_mincz")
