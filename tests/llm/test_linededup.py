@@ -2,6 +2,7 @@ import random
 
 from tests.llm.helpers import ODD, WORD, documents, frame, wide
 
+from voxelith.llm import linededup
 from voxelith.llm.linededup import dedup_lines
 
 
@@ -49,3 +50,14 @@ def test_odd_rows_and_clashing_names(spark):
     got = dedup_lines(wide(spark, rows))
     assert got.columns[:4] == ["doc_id", "text", "id", "lang"] and got.count() == len(rows)
     assert dedup_lines(frame(spark, [])).count() == 0
+
+
+def test_lines_of_a_dense_group_meet_few_of_it(spark, monkeypatch):
+    rng = random.Random(5)
+    base, rows = [f"w{i}" for i in range(40)], []
+    for i in range(900):  # most are like many of the others, but not like one line of their group
+        rows.append((i, " ".join(w if rng.random() > 0.1 else f"x{rng.randrange(40)}" for w in base)))
+    tried, verified = [], linededup._verified
+    monkeypatch.setattr(linededup, "_verified", lambda pairs, *a: (tried.append(pairs.count()), verified(pairs, *a))[1])
+    check(spark, rows)
+    assert len(tried) == 3 and tried[-1] < 35 * len(rows), tried

@@ -12,8 +12,10 @@ at least ``percent`` hundredths; a line goes if a line before it (smaller doc_id
    words before a shared one that cannot be shared, and what the rest of the sets differ by; the length filter and one on
    128-bit maps of the sets, whose bits differ in no more places than the sets do, stand in the join condition too.
 4. First, where more than CROWD lines share one of their STAR last prefix words, each is tried against the line of the
-   largest class among them, then the next largest, TURNS times, so that groups of near copies do not grow with their
-   square; only lines without a match there are then tried against all earlier lines that share prefix words.
+   largest class among them.  Where many more share one of the WIDE last, those without a match are then tried against such a line
+   of each of HEADS parts (by hash), so that groups of near copies do not grow with their square: a line that is like a
+   tenth of the earlier ones of its group nearly always finds one of these.  Only lines without a match there are then tried against
+   all earlier lines that share prefix words.
 5. Candidates are verified on their whole sets.
 
 Null or empty texts have no lines with words.  Rows of null doc_id take no part.  Rows that repeat a doc_id count as one
@@ -34,7 +36,9 @@ from voxelith.llm.store import drop, release, stored
 BUCKETS = 1 << 18
 SIMILARITY_PERCENT = 80
 LONG = 32
-STAR, CROWD, TURNS = 2, 8, 2
+STAR, CROWD = 2, 8
+#: Prefix words, and parts of the lines that share one, for the second trial.
+WIDE, HEADS = 6, 32
 #: Parts of the keys that are joined one after the other, so that disk holds one part's rows at a time.
 PARTS = 3
 _SPACES = r"[\x20\x09-\x0D]+"
@@ -117,18 +121,20 @@ def removed_lines(docs: DataFrame, percent: int = SIMILARITY_PERCENT, key: str =
     drop(lines), drop(again)
     release(docs.sparkSession)
 
-    tried = F.slice("prefix", F.greatest(F.lit(1), F.size("prefix") - (STAR - 1)), STAR)
-    rows = firsts.select(F.explode(tried).alias("key"), F.struct("id", "line").alias("b"), F.col("size").alias("nb"), F.col("map").alias("mb"), "n")
-    crowds = stored(rows.groupBy("key").agg(F.count("*").alias("many")).where(F.col("many") > CROWD).select("key"))
-    pivots = open_ = stored(rows.join(sized(crowds), "key", "left_semi"))
     stars, found = [], None
-    for _ in range(TURNS):
-        heads = stored(pivots.groupBy("key").agg(F.min(F.struct(-F.col("n"), "b", "nb", "mb")).alias("h")).select("key", F.col("h.b").alias("a"), F.col("h.nb").alias("na"), F.col("h.mb").alias("ma")))
+    for last, parts, crowd in ((STAR, 1, CROWD), (WIDE, HEADS, 4 * HEADS)):
+        tried = F.slice("prefix", F.greatest(F.lit(1), F.size("prefix") - (last - 1)), last)
+        rows = firsts.select(F.explode(tried).alias("key"), F.struct("id", "line").alias("b"), F.col("size").alias("nb"), F.col("map").alias("mb"), "n")
+        crowds = stored(rows.groupBy("key").agg(F.count("*").alias("many")).where(F.col("many") > crowd).select("key"))
+        open_ = rows = stored(rows.join(sized(crowds), "key", "left_semi"))
+        if found is not None:
+            open_ = stored(open_.join(sized(found), "b", "left_anti"))
+        heads = rows.groupBy("key", F.pmod(F.xxhash64("b"), F.lit(parts)).alias("part")).agg(F.min(F.struct(-F.col("n"), "b", "nb", "mb")).alias("h"))
+        heads = stored(heads.select("key", F.col("h.b").alias("a"), F.col("h.nb").alias("na"), F.col("h.mb").alias("ma")))
         stars.append(stored(open_.join(sized(heads), "key").where("a < b").where(_alike(percent)).select("a", "b").distinct()))
         done = _verified(stars[-1], docs, percent, key, text)
         found = done if found is None else stored(found.union(done).distinct())
-        pivots = stored(pivots.join(sized(heads).select("key", F.col("a").alias("b")), ["key", "b"], "left_anti"))
-        open_ = stored(open_.join(sized(done), "b", "left_anti"))
+        drop(crowds), drop(heads), drop(rows), drop(open_)
         release(docs.sparkSession)
     matched, star = found, stored(_union(stars).distinct())
 
