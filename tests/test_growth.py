@@ -96,3 +96,19 @@ def test_a_point_far_away_is_seen(spark):
     see = lambda p: sorted(map(tuple, visible(p, cameras, "id", "cam", "rig", (50.0, 50.0), (32.0, 24.0), (64, 48)).collect()))
     assert see(points) == [(1, 32, 24, 1, 1e7), (1, 34, 24, 3, 4.0)]
     assert see(points.limit(0)) == []
+
+
+def test_whole_lattices_do_not_go_through_the_driver(spark):
+    from voxelith.operators.lineage import SENT_ROWS, cut
+
+    place = lambda n: cut(spark.range(n).select(*((F.col("id") / d % m).cast("int").alias(c) for c, d, m in (("x", 1, 200), ("y", 200, 100), ("z", 20000, 50)))))
+    joined = lambda n: place(2000).join(place(n), ["x", "y", "z"], "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in joined(4 * SENT_ROWS)  # some hundred kB as a file
+    assert "BroadcastExchange" in joined(1000)
+
+
+def test_places_found_are_not_sent_to_all_tasks(spark):
+    df = copies(spark)
+    found = N.nearest(df, df.where("x = 1"), 2, 1.0, "id")
+    found.collect()
+    assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
