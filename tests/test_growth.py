@@ -112,3 +112,17 @@ def test_places_found_are_not_sent_to_all_tasks(spark):
     found = N.nearest(df, df.where("x = 1"), 2, 1.0, "id")
     found.collect()
     assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cells_of_frames_do_not_go_through_the_driver(spark):
+    """Cells are hundreds for each tile that they come from, whose size is all that Spark knows of them."""
+    from voxelith.operators.fusion import ROTATION, Grid, cell_samples
+    from voxelith.operators.refine import render
+
+    pose = dict.fromkeys(ROTATION, 0.0) | {"r00": 1.0, "r11": 1.0, "r22": 1.0, "tx": -4.0, "ty": -4.0, "tz": 0.0, "fx": 8.0, "fy": 8.0, "cx": 8.0, "cy": 6.0, "width": 16, "height": 12}
+    frames = spark.createDataFrame([{"frame": 1} | pose])
+    depths = spark.range(12 * 16).select(F.lit(1).cast("long").alias("frame"), F.floor(F.col("id") / 16).cast("int").alias("v"), (F.col("id") % 16).cast("int").alias("u"), F.lit(4.0).alias("depth"))
+    grid = Grid((0.0, 0.0, 0.0), 0.5, (16, 16, 16))
+    points = spark.range(10).select(*((F.col("id") % 5 + 1).cast("double").alias(c) for c in "xyz"))
+    for df in (cell_samples(frames, depths, grid, 6.0), render(points, frames, grid, 6.0)):
+        assert df.count() > 0 and "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelith.functions.geometry import project
-from voxelith.operators.lineage import cut
+from voxelith.operators.lineage import apart, cut
 from voxelith.operators.volume import IX
 
 #: Cells of a tile's edge.
@@ -96,7 +96,8 @@ def cell_samples(frames: DataFrame, depths: DataFrame, grid: Grid, far: Column |
     u, v = project(F.col("_x"), F.col("_y"), F.col("_z"), *(F.col(c) for c in ("fx", "fy", "cx", "cy")))
     cells = cells.select("frame", *IX, "_z", F.rint(u).cast("int").alias("u"), F.rint(v).cast("int").alias("v"), "width", "height")
     cells = cells.where(F.col("u").between(F.lit(0), F.col("width") - 1) & F.col("v").between(F.lit(0), F.col("height") - 1)).drop("width", "height")
-    seen = cells.join(depths.where("depth > 0").select("frame", "v", "u", "depth", *colours), ["frame", "v", "u"])
+    # cells count as few as the tiles they come from; of the two sides, neither fits the driver
+    seen = apart(cells).join(depths.where("depth > 0").select("frame", "v", "u", "depth", *colours), ["frame", "v", "u"])
     trunc = F.greatest(F.lit(RELATIVE) * F.col("_z"), F.lit(LEAST_CELLS * grid.size))
     return seen.select(*IX, "frame", (F.col("depth") - F.col("_z")).alias("sdf"), trunc.alias("trunc"), *colours)
 

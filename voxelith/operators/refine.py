@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from voxelith.functions.aggregates import robust_affine
 from voxelith.functions.geometry import project
 from voxelith.operators.fusion import TILE, Grid, frame_tiles, fuse_frames, surface, to_camera
-from voxelith.operators.lineage import cut
+from voxelith.operators.lineage import apart, cut
 
 #: Fixed values of the refit: pixels a frame needs, share of depth beyond which a pixel is an outlier, block edge, passes of the blur and its weights.
 LEAST_PIXELS, OUTLIER, BLOCK, PASSES, TAPS = 400, 0.15, 8, 12, (1.0, 4.0, 6.0, 4.0, 1.0)
@@ -27,7 +27,7 @@ def render(points: DataFrame, frames: DataFrame, grid: Grid, far: Column | float
     edge = TILE * grid.size
     at = {f"_t{a}": F.floor((F.col(n) - grid.origin[a]) / edge).cast("int") for a, n in enumerate("xyz")}
     keyed = points.select("x", "y", "z").withColumns(at)
-    met = frame_tiles(frames, grid, far, float(factor)).join(keyed, list(at))
+    met = apart(frame_tiles(frames, grid, far, float(factor))).join(keyed, list(at))
     x, y, z = to_camera(F.col("x"), F.col("y"), F.col("z"))
     met = met.withColumns({"_cx": x, "_cy": y, "_cz": z}).where((F.col("_cz") > 1e-6) & (F.col("_cz") <= F.col("_far")))
     u, v = project(F.col("_cx"), F.col("_cy"), F.col("_cz"), *(F.col(c) for c in ("fx", "fy", "cx", "cy")))
@@ -114,7 +114,7 @@ def refit(depths: DataFrame, rendered: DataFrame, factor: int = FACTOR, least: i
     at = new.where((F.col("v") % factor == 0) & (F.col("u") % factor == 0) & (F.col("refit") > 0)).select("frame", (F.col("v") / factor).cast("int").alias("v"), (F.col("u") / factor).cast("int").alias("u"), "refit")
     after = at.join(pairs.select("frame", "v", "u", "rendered"), ["frame", "v", "u"]).groupBy("frame").agg(_error("refit").alias("after"))
     report = cut(enough.join(after, "frame", "left").withColumn("refitted", F.coalesce(F.col("after") < F.col("before"), F.lit(False))))
-    better = new.join(report.where("refitted").select("frame"), "frame")
+    better = apart(new.join(report.where("refitted").select("frame"), "frame"))
     out = depths.join(better, ["frame", "v", "u"], "left").withColumn("depth", F.coalesce("refit", "depth")).select(depths.columns)
     return out, report
 
